@@ -106,16 +106,18 @@ def multi_hot_drugs(outcomes: DataFrame, early_rx: DataFrame, groups=DRUG_GROUPS
 def cumulative_distinct(rx: DataFrame, value: str, out: str) -> DataFrame:
     """Per stay and day: how many different values were given up to that day.
 
-    Only the first day of a value adds to the count, so the data shrinks to one row per stay and
-    value, and then to one per stay and day, before the running sum.
+    Only the first day of a value adds to the count. The data shrinks to the set of days per stay
+    and value, then to one row per stay and day, before the running sum.
     """
-    first_day = rx.groupBy(*STAY, value).agg(F.min("day_prescribed").alias("day_prescribed"))
-    added = first_day.groupBy(*STAY, "day_prescribed").agg(F.count(value).alias("_new"))
-    days = rx.select(*STAY, "day_prescribed").distinct()
-    w = W.partitionBy(*STAY).orderBy("day_prescribed").rowsBetween(W.unboundedPreceding, 0)
-    return days.join(added, [*STAY, "day_prescribed"], "left").select(
-        *STAY, "day_prescribed", F.sum(F.coalesce("_new", F.lit(0))).over(w).alias(out)
+    days = rx.groupBy(*STAY, value).agg(F.collect_set("day_prescribed").alias("_days"))
+    adds = (F.col("_day") == F.array_min("_days")) & F.col(value).isNotNull()
+    per_day = (
+        days.withColumn("_day", F.explode("_days"))
+        .groupBy(*STAY, F.col("_day").alias("day_prescribed"))
+        .agg(F.sum(adds.cast("int")).alias("_new"))
     )
+    w = W.partitionBy(*STAY).orderBy("day_prescribed").rowsBetween(W.unboundedPreceding, 0)
+    return per_day.select(*STAY, "day_prescribed", F.sum("_new").over(w).alias(out))
 
 
 def drug_burden(classified: DataFrame, outcomes: DataFrame) -> DataFrame:

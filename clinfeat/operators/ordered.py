@@ -10,8 +10,9 @@ partitioning by the group alone, and one task would get the whole group again.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-CUTS_COARSE = 32
-CUTS_FINE = 32
+# A slice is found in three steps of 7, 7 and 15 comparisons.
+FAN_OUT = (8, 8, 16)
+SLICES = FAN_OUT[0] * FAN_OUT[1] * FAN_OUT[2]
 
 
 def _before(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -92,14 +93,29 @@ def first_by_hash(
     return plain.unionByName(edge).drop("_h", "_slice", "_room", "n")
 
 
-def _slice_by_cuts(value: Column, cuts: Column) -> Column:
-    """How many of the sorted cut values lie below ``value``, in two steps of few comparisons."""
-    coarse = F.transform(
-        F.sequence(F.lit(1), F.lit(CUTS_COARSE - 1)), lambda i: F.get(cuts, i * CUTS_FINE - 1)
+def _levels(cuts: Column) -> Column:
+    """The sorted cut values at three widths: every 128th, every 16th, all."""
+    def every(step):
+        positions = F.sequence(F.lit(step), F.lit(SLICES - step), F.lit(step))
+        return F.transform(positions, lambda i: F.get(cuts, i - 1))
+
+    return F.struct(
+        every(FAN_OUT[1] * FAN_OUT[2]).alias("wide"), every(FAN_OUT[2]).alias("middle"), cuts.alias("narrow")
+    )
+
+
+def _slice_of(value: Column, levels: str) -> Column:
+    """How many cut values lie below ``value``."""
+    def below(cuts):
+        return F.size(F.filter(cuts, lambda c: c < value))
+
+    wide = below(F.col(f"{levels}.wide"))
+    middle = wide * FAN_OUT[1] + below(
+        F.slice(F.col(f"{levels}.middle"), wide * FAN_OUT[1] + 1, F.lit(FAN_OUT[1] - 1))
+    )
+    return middle * FAN_OUT[2] + below(
+        F.slice(F.col(f"{levels}.narrow"), middle * FAN_OUT[2] + 1, F.lit(FAN_OUT[2] - 1))
     )
-    block = F.size(F.filter(coarse, lambda c: c < value))
-    fine = F.slice(cuts, block * CUTS_FINE + 1, F.lit(CUTS_FINE))
-    return block * CUTS_FINE + F.size(F.filter(fine, lambda c: c < value))
 
 
 def with_value_slices(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -108,16 +124,11 @@ def with_value_slices(df: DataFrame, by: list[str], value: str) -> DataFrame:
     Cut values are approximate quantiles of the data; they only decide where a slice ends, so the
     results built on them stay exact. There is one row of cuts per group.
     """
-    n = CUTS_COARSE * CUTS_FINE
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * n)).alias("_cuts"))
-    if by:
-        placed = df.join(cuts, by)
-        return placed.withColumn(
-            "_slice", _slice_by_cuts(F.col(value), F.col("_cuts"))
-        ).drop("_cuts")
-    placed = df.withColumn("_cuts", cuts.scalar())
-    return placed.withColumn("_slice", _slice_by_cuts(F.col(value), F.col("_cuts"))).drop("_cuts")
+    probs = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * SLICES)).alias("_cuts"))
+    levels = cuts.select(*by, _levels(F.col("_cuts")).alias("_levels"))
+    placed = df.join(levels, by) if by else df.withColumn("_levels", levels.scalar())
+    return placed.withColumn("_slice", _slice_of(F.col(value), "_levels")).drop("_levels")
 
 
 def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:

@@ -75,8 +75,10 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
 
     Edges default to the range of the data. NULLs and values outside the edges are dropped.
     """
-    low = F.lit(float(lo)) if lo is not None else df.agg(F.min(value)).scalar()
-    high = F.lit(float(hi)) if hi is not None else df.agg(F.max(value)).scalar()
+    # both ends in one scan; repeated uses of the same scalar subquery run once
+    ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    low = F.lit(float(lo)) if lo is not None else ends["lo"]
+    high = F.lit(float(hi)) if hi is not None else ends["hi"]
     binned = df.withColumn("bin", histogram_bin(F.col(value), low, high, bins))
     keys = ["bin"] if by is None else ["bin", by]
     return counts(binned.filter(F.col("bin").isNotNull()), *keys)
@@ -133,10 +135,8 @@ def density(df: DataFrame, value: str, lo: float, hi: float, bandwidth: float,
     """
     width = (hi - lo) / bins
     step = (hi - lo) / (points - 1)
-    binned = histogram(df, value, bins, lo=lo, hi=hi) if not by else None
-    if by:
-        b = histogram_bin(F.col(value), F.lit(lo), F.lit(hi), bins)
-        binned = counts(df.withColumn("bin", b).filter(F.col("bin").isNotNull()), "bin", *by)
+    b = histogram_bin(F.col(value), F.lit(lo), F.lit(hi), bins)
+    binned = counts(df.withColumn("bin", b).filter(F.col("bin").isNotNull()), "bin", *by)
     centre = F.lit(lo) + (F.col("bin") - 0.5) * width
     spread = binned.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.lit(lo) + F.col("_i") * step

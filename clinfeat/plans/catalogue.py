@@ -62,6 +62,10 @@ def outcomes(r: Retail, stays: DataFrame) -> DataFrame:
     return plans.all_outcomes(sources(r), codes(r), stays)
 
 
+def staged_outcomes(r: Retail, stays: DataFrame) -> DataFrame:
+    return stages.materialize(outcomes(r, stays), "outcomes")
+
+
 def weight(r: Retail) -> DataFrame:
     return measures.first_weight(r.meas, TEST_WEIGHTS)
 
@@ -182,7 +186,7 @@ def lag_split(r):
 @query
 def lag_groups_of_cohort(r):
     """Distinct stays per lag group, evidence without a time included."""
-    stays = info(r)
+    stays = staged_info(r)
     found = cohort.evidence(r.diag, r.micro, stays, r.code_is, TEST_PATTERN)
     grouped = found.select("enc_id", text.lag_group(F.col("chart_timelag")).alias("lag_group")).distinct()
     return grouped.groupBy("lag_group").agg(F.count("enc_id").alias("n_stays"))
@@ -414,7 +418,7 @@ def first_drug(r):
 @query
 def treated_semi(r):
     scoped = meds.prescriptions_in_scope(r.rx, r.enc.select("subj_id", "enc_id"), TEST_SPELLINGS, TEST_UNNAMED)
-    return meds.treated_stays(outcomes(r, info(r)), scoped)
+    return meds.treated_stays(outcomes(r, staged_info(r)), scoped)
 
 
 def joined(df, *columns):
@@ -465,7 +469,7 @@ def event_types_to_date(r):
 
 @query
 def evidence_full_right(r):
-    return cohort.evidence(r.diag, r.micro, info(r), r.code_is, TEST_PATTERN)
+    return cohort.evidence(r.diag, r.micro, staged_info(r), r.code_is, TEST_PATTERN)
 
 
 @query
@@ -475,7 +479,7 @@ def evidence_all_ids(r):
 
 @query
 def outcome_exists(r):
-    return outcomes(r, info(r))
+    return outcomes(r, staged_info(r))
 
 
 @query
@@ -502,7 +506,7 @@ def multistay(r):
 @query
 def merge_close_stays(r):
     stays = staged_info(r)
-    return cohort.merge_close_stays(outcomes(r, stays), plans.sessions(stays))
+    return cohort.merge_close_stays(staged_outcomes(r, stays), plans.sessions(stays))
 
 
 @query
@@ -510,14 +514,14 @@ def merge_treated_stays(r):
     """The same over treated stays only, so some sessions miss their first stay."""
     stays = staged_info(r)
     scoped = meds.prescriptions_in_scope(r.rx, r.enc.select("subj_id", "enc_id"), TEST_SPELLINGS, TEST_UNNAMED)
-    treated = meds.treated_stays(outcomes(r, stays), scoped)
+    treated = stages.materialize(meds.treated_stays(outcomes(r, stays), scoped), "treated_outcomes")
     return cohort.merge_close_stays(treated, plans.sessions(stays))
 
 
 @query
 def cohort_filters(r):
     stays = staged_info(r)
-    flags = outcomes(r, stays).select("enc_id", "outcome")
+    flags = staged_outcomes(r, stays).select("enc_id", "outcome")
     rules = {
         "adults": cohort.adults_only(flags, stays),
         "not_primary": cohort.drop_primary_code(flags, stays, r.code_is),
@@ -592,7 +596,7 @@ def crosstab_sparse(r):
 
 @query
 def grouped_describe(r):
-    stays = info(r).withColumn("coded", r.code_is.cast("int"))
+    stays = staged_info(r).withColumn("coded", r.code_is.cast("int"))
     out = profile.summary_by(stays, ["coded", "expire"], "los_hospital")
     return rounded(out, ["mean", "std", "q25", "q50", "q75"])
 
@@ -726,7 +730,8 @@ def small_rows(r: Retail) -> DataFrame:
     """Scaled labs, age-free, of stays with the outcome code: the rows imputation works on."""
     names = measures.lab_labels(TEST_LABS)
     coded = r.diag.filter(r.code_is).select("enc_id").distinct()
-    return prep.standardise(labs(r).join(coded, "enc_id"), names).drop("subj_id")
+    rows = stages.materialize(labs(r).join(coded, "enc_id").drop("subj_id"), "small_rows")
+    return prep.standardise(rows, names)
 
 
 @query

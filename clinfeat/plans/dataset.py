@@ -68,7 +68,7 @@ def cohort_outcomes(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:
     """Outcomes of treated stays: close stays merged, adults only, not admitted for the outcome."""
     scoped = meds.prescriptions_in_scope(src.prescriptions, info.select("subj_id", "enc_id"),
                                          codes.spellings, codes.unnamed)
-    treated = meds.treated_stays(all_outcomes(src, codes, info), scoped)
+    treated = materialize(meds.treated_stays(all_outcomes(src, codes, info), scoped), "treated_outcomes")
     merged = cohort.merge_close_stays(treated, sessions(info))
     adults = cohort.adults_only(merged, info)
     return cohort.drop_primary_code(adults, info, codes.outcome_code())

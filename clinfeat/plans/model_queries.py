@@ -76,12 +76,19 @@ def what_if(r):
 
 # Fitted models
 
-def prepared(r: Retail, strategy: str = "median", drugs: bool = True) -> plans.Prepared:
-    src, used = sources(r), codes(r)
-    info = staged_info(r)
-    dataset = stages.materialize(plans.build_dataset(src, used, info), "dataset")
-    flags = plans.drug_features(src, used, dataset, info) if drugs else None
-    return plans.prepare(dataset, TEST_FEATURES, flags, strategy=strategy)
+STAGED = {}
+
+
+def prepared(r: Retail, strategy: str = "median") -> plans.Prepared:
+    """Model input with drug flags. The written stages are shared by the queries of a session."""
+    key = (r.spark.sparkContext.applicationId, r.folder, strategy)
+    if key not in STAGED:
+        src, used = sources(r), codes(r)
+        info = staged_info(r)
+        dataset = stages.materialize(plans.build_dataset(src, used, info), "dataset")
+        flags = plans.drug_features(src, used, dataset, info)
+        STAGED[key] = plans.prepare(dataset, TEST_FEATURES, flags, strategy=strategy)
+    return STAGED[key]
 
 
 @query
