@@ -107,7 +107,7 @@ def _levels(cuts: Column) -> Column:
 def _slice_of(value: Column, levels: str) -> Column:
     """How many cut values lie below ``value``."""
     def below(cuts):
-        return F.size(F.filter(cuts, lambda c: c < value))
+        return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
 
     wide = below(F.col(f"{levels}.wide"))
     middle = wide * FAN_OUT[1] + below(
@@ -118,16 +118,23 @@ def _slice_of(value: Column, levels: str) -> Column:
     )
 
 
-def with_value_slices(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def with_value_slices(df: DataFrame, by: list[str], value: str, max_groups: int | None = None) -> DataFrame:
     """Add ``_slice``: about equally filled slices of ``value`` within each ``by`` group.
 
     Cut values are approximate quantiles of the data; they only decide where a slice ends, so the
-    results built on them stay exact. There is one row of cuts per group.
+    results built on them stay exact. A group's cuts take about 10 KB; they are broadcast when the
+    caller knows that there are at most ``max_groups`` <= 1000 groups. Otherwise Spark picks the
+    join by size, and may split a large group since a shuffle by slice follows.
     """
     probs = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * SLICES)).alias("_cuts"))
     levels = cuts.select(*by, _levels(F.col("_cuts")).alias("_levels"))
-    placed = df.join(levels, by) if by else df.withColumn("_levels", levels.scalar())
+    if not by:
+        placed = df.withColumn("_levels", levels.scalar())
+    elif max_groups is not None and max_groups <= 1000:
+        placed = df.join(F.broadcast(levels), by)
+    else:
+        placed = df.join(levels, by)
     return placed.withColumn("_slice", _slice_of(F.col(value), "_levels")).drop("_levels")
 
 
@@ -149,7 +156,8 @@ def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str]) ->
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
+                    max_groups: int | None = None) -> DataFrame:
     """Exact quantiles (linear between the two nearest values) of ``value`` per ``by`` group.
 
     Rows are first counted per distinct value. Only the slices that hold a wanted rank are then
@@ -160,7 +168,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         .groupBy(*by, value)
         .agg(F.count("*").alias("n"))
     )
-    sliced = with_value_slices(counted, by, value)
+    sliced = with_value_slices(counted, by, value, max_groups)
     keys = [*by, "_slice"]
     totals = sliced.groupBy(*keys).agg(F.sum("n").alias("n"))
     per_group = W.partitionBy(*by)

@@ -84,7 +84,7 @@ def stratified_split(df: DataFrame, label: str = "outcome", id_col: str = "enc_i
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians, one job for all columns; one number per column comes back."""
-    found = exact_quantiles(unpivot(df, columns), ["feature"], "value", {"median": 0.5})
+    found = exact_quantiles(unpivot(df, columns), ["feature"], "value", {"median": 0.5}, len(columns))
     return {r["feature"]: r["median"] for r in found.collect()}
 
 

@@ -597,7 +597,7 @@ def crosstab_sparse(r):
 @query
 def grouped_describe(r):
     stays = staged_info(r).withColumn("coded", r.code_is.cast("int"))
-    out = profile.summary_by(stays, ["coded", "expire"], "los_hospital")
+    out = profile.summary_by(stays, ["coded", "expire"], "los_hospital", max_groups=9)  # flags or NULL
     return rounded(out, ["mean", "std", "q25", "q50", "q75"])
 
 
