@@ -126,7 +126,7 @@ def with_value_slices(df: DataFrame, by: list[str], value: str, max_groups: int
     caller knows that there are at most ``max_groups`` <= 1000 groups. Otherwise Spark picks the
     join by size, and may split a large group since a shuffle by slice follows.
     """
-    probs = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    probs = F.expr("array(" + ", ".join(f"{i / SLICES}D" for i in range(1, SLICES)) + ")")
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * SLICES)).alias("_cuts"))
     levels = cuts.select(*by, _levels(F.col("_cuts")).alias("_levels"))
     if not by:
