@@ -123,8 +123,8 @@ def with_value_slices(df: DataFrame, by: list[str], value: str, max_groups: int
 
     Cut values are approximate quantiles of the data; they only decide where a slice ends, so the
     results built on them stay exact. A group's cuts take about 10 KB; they are broadcast when the
-    caller knows that there are at most ``max_groups`` <= 1000 groups. Otherwise Spark picks the
-    join by size, and may split a large group since a shuffle by slice follows.
+    caller knows that there are at most ``max_groups`` <= 1000 groups. Otherwise a merge join, in
+    which Spark may split a large group, since a shuffle by slice follows.
     """
     probs = F.expr("array(" + ", ".join(f"{i / SLICES}D" for i in range(1, SLICES)) + ")")
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * SLICES)).alias("_cuts"))
@@ -134,7 +134,7 @@ def with_value_slices(df: DataFrame, by: list[str], value: str, max_groups: int
     elif max_groups is not None and max_groups <= 1000:
         placed = df.join(F.broadcast(levels), by)
     else:
-        placed = df.join(levels, by)
+        placed = df.join(levels.hint("merge"), by)
     return placed.withColumn("_slice", _slice_of(F.col(value), "_levels")).drop("_levels")
 
 
