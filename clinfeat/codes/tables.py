@@ -21,19 +21,38 @@ def column_name(label: str) -> str:
     return label.replace(" ", "").lower()
 
 
+def numbered(names) -> dict[str, int]:
+    """Distinct names in order of appearance, with their number. Numbers sort faster than names."""
+    return {name: i for i, name in enumerate(dict.fromkeys(names))}
+
+
 def lab_table(spark, items):
-    rows = [(i.item_id, column_name(i.label), i.hi) for i in items]
-    return from_rows(spark, ["item_id", "label", "hi"], rows, [pa.int32(), pa.string(), pa.float64()])
+    no = numbered(column_name(i.label) for i in items)
+    rows = [(i.item_id, column_name(i.label), no[column_name(i.label)], i.hi) for i in items]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.float64()]
+    return from_rows(spark, ["item_id", "label", "label_no", "hi"], rows, types)
 
 
 def vital_table(spark, items):
-    rows = [(i.item_id, i.category, i.lo, i.hi, i.hi_closed, i.fahrenheit) for i in items]
-    return from_rows(
-        spark,
-        ["item_id", "valid_category", "lo", "hi", "hi_closed", "fahrenheit"],
-        rows,
-        [pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()],
-    )
+    no = numbered(i.category for i in items)
+    rows = [(i.item_id, i.category, no[i.category], i.lo, i.hi, i.hi_closed, i.fahrenheit) for i in items]
+    names = ["item_id", "valid_category", "valid_no", "lo", "hi", "hi_closed", "fahrenheit"]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+    return from_rows(spark, names, rows, types)
+
+
+def chart_table(spark, vitals, weights, heights):
+    """Vital, weight and height items in one table; an item may have a row of each kind.
+
+    ``factor`` is NULL for vitals. Weight and height are numbered after the vital categories.
+    """
+    no = numbered([i.category for i in vitals] + ["weight", "height"])
+    rows = [(i.item_id, no[i.category], i.lo, i.hi, i.hi_closed, i.fahrenheit, None) for i in vitals]
+    for name, items in (("weight", weights), ("height", heights)):
+        rows += [(i.item_id, no[name], None, None, False, False, i.factor) for i in items]
+    names = ["item_id", "valid_no", "lo", "hi", "hi_closed", "fahrenheit", "factor"]
+    types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64()]
+    return from_rows(spark, names, rows, types)
 
 
 def unit_table(spark, items):

@@ -11,7 +11,8 @@ from clinfeat.functions.numbers import round_half_away
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    return (later - earlier).cast("decimal(24,6)")
+    """Seconds with microseconds. 18 digits hold any two timestamps and still fit a long."""
+    return (later - earlier).cast("decimal(18,6)")
 
 
 def days_exact(later: Column, earlier: Column) -> Column:

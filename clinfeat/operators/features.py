@@ -10,13 +10,18 @@ from clinfeat.functions.time import clock_hours, hours_after_six, is_morning
 STAY = ["subj_id", "enc_id"]
 
 
-def vitals_joined(vitals: DataFrame, info: DataFrame, weight: DataFrame, height: DataFrame) -> DataFrame:
-    """First vitals with stay facts, weight and height (looked up by stay alone)."""
+def with_stay_facts(per_stay: DataFrame, info: DataFrame) -> DataFrame:
+    """Start, length of stay, age and gender flag beside one row per stay."""
     facts = info.select(
         "enc_id", "start_ts", "los_hospital", "age", is_value(F.col("gender"), "M").alias("gender")
     )
+    return per_stay.join(facts, "enc_id")
+
+
+def vitals_joined(vitals: DataFrame, info: DataFrame, weight: DataFrame, height: DataFrame) -> DataFrame:
+    """First vitals with stay facts, weight and height (looked up by stay alone)."""
     return (
-        vitals.join(facts, "enc_id")
+        with_stay_facts(vitals, info)
         .join(weight.select("enc_id", F.col("weight_first").alias("weight")), "enc_id", "left")
         .join(height.select("enc_id", F.col("height_first").alias("height")), "enc_id", "left")
     )

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from clinfeat.codes.tables import column_name, lab_table, lookup, unit_table, vital_table
+from clinfeat.codes.tables import (
+    chart_table, column_name, lab_table, lookup, numbered, unit_table, vital_table,
+)
 from clinfeat.codes.values import HEIGHT_ITEMS, LAB_ITEMS, VITAL_ITEMS, WEIGHT_ITEMS
 from clinfeat.functions.numbers import round_half_away
 from clinfeat.functions.text import not_marked
@@ -11,24 +13,15 @@ from clinfeat.functions.time import hour_number, hours_interval
 STAY = ["subj_id", "enc_id"]
 
 
-def _distinct(names):
-    return list(dict.fromkeys(names))
-
-
 def lab_labels(items=LAB_ITEMS):
-    return _distinct(column_name(i.label) for i in items)
+    return list(numbered(column_name(i.label) for i in items))
 
 
 def vital_names(items=VITAL_ITEMS):
-    return _distinct(i.category for i in items)
-
+    return list(numbered(i.category for i in items))
 
-def label_labs(events: DataFrame, items=LAB_ITEMS) -> DataFrame:
-    """Positive values of listed items, with their label.
 
-    A value above the limit of its item becomes NULL, but the row keeps label and time.
-    The item list is a literal ``IN``, so it reaches the scan.
-    """
+def _lab_rows(events: DataFrame, items) -> DataFrame:
     listed = events.filter(
         F.col("item_id").isin([i.item_id for i in items])
         & F.col("value").isNotNull()
@@ -41,26 +34,45 @@ def label_labs(events: DataFrame, items=LAB_ITEMS) -> DataFrame:
     )
 
 
-def label_vitals(events: DataFrame, items=VITAL_ITEMS) -> DataFrame:
-    """Listed items not marked as errors, with category and metric value.
+def label_labs(events: DataFrame, items=LAB_ITEMS) -> DataFrame:
+    """Positive values of listed items, with their label.
 
-    A value outside the range of its item loses its category, but the row stays.
+    A value above the limit of its item becomes NULL, but the row keeps label and time.
+    The item list is a literal ``IN``, so it reaches the scan.
     """
+    return _lab_rows(events, items).drop("label_no")
+
+
+def _vital_rows(events: DataFrame, items) -> DataFrame:
     listed = events.filter(
         F.col("item_id").isin([i.item_id for i in items]) & not_marked(F.col("error"))
     ).select(*STAY, "item_id", "ts", "value")
-    v = F.col("value")
-    valid = (F.col("lo").isNull() | (v > F.col("lo"))) & (
-        F.col("hi").isNull() | (v < F.col("hi")) | (F.col("hi_closed") & (v == F.col("hi")))
-    )
-    return (
-        lookup(listed, vital_table(events.sparkSession, items), "item_id", "inner")
-        .withColumn("category", F.when(valid, F.col("valid_category")))
-        .withColumn("value", F.when(F.col("fahrenheit"), (v - 32) / 1.8).otherwise(v))
-        .select(*STAY, "item_id", "ts", "category", "value")
+    valid = _in_range()
+    return lookup(listed, vital_table(events.sparkSession, items), "item_id", "inner").select(
+        *STAY, "item_id", "ts",
+        F.when(valid, F.col("valid_category")).alias("category"),
+        F.when(valid, F.col("valid_no")).alias("category_no"),
+        _celsius().alias("value"),
     )
 
 
+def label_vitals(events: DataFrame, items=VITAL_ITEMS) -> DataFrame:
+    """Listed items not marked as errors, with category and metric value.
+
+    A value outside the range of its item loses its category, but the row stays.
+    """
+    return _vital_rows(events, items).drop("category_no")
+
+
+def _in_range():
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    return (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi) | (F.col("hi_closed") & (v == hi)))
+
+
+def _celsius():
+    return F.when(F.col("fahrenheit"), (F.col("value") - 32) / 1.8).otherwise(F.col("value"))
+
+
 def first_rows(events: DataFrame, category: str) -> DataFrame:
     """All rows at the earliest time of each stay and category.
 
@@ -71,13 +83,11 @@ def first_rows(events: DataFrame, category: str) -> DataFrame:
     return events.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
-def wide(rows: DataFrame, category: str, names: list[str], aggs: dict) -> DataFrame:
+def wide(rows: DataFrame, number: str, names: list[str], aggs: dict) -> DataFrame:
     """One row per stay; a column per (category, aggregate), all in one aggregation."""
-    def pick(name):
-        return F.when(F.col(category) == name, F.col("value"))
-
     return rows.groupBy(*STAY).agg(*[
-        fn(pick(name)).alias(name + suffix) for name in names for suffix, fn in aggs.items()
+        fn(F.when(F.col(number) == no, F.col("value"))).alias(name + suffix)
+        for no, name in enumerate(names) for suffix, fn in aggs.items()
     ])
 
 
@@ -96,8 +106,8 @@ def _in_a_stay(events: DataFrame) -> DataFrame:
 
 def first_labs(events: DataFrame, stays: DataFrame, items=LAB_ITEMS) -> DataFrame:
     """First value per label, whatever its time; NULL when that first value was above its limit."""
-    first = first_rows(label_labs(_in_a_stay(events), items), "label")
-    return _of_known_stays(wide(first, "label", lab_labels(items), {"": F.min}), stays)
+    first = first_rows(_lab_rows(_in_a_stay(events), items), "label_no")
+    return _of_known_stays(wide(first, "label_no", lab_labels(items), {"": F.min}), stays)
 
 
 def first_vitals(events: DataFrame, stays: DataFrame, items=VITAL_ITEMS) -> DataFrame:
@@ -105,8 +115,8 @@ def first_vitals(events: DataFrame, stays: DataFrame, items=VITAL_ITEMS) -> Data
 
     Invalid rows form a group without category, so a stay with nothing else has an all-NULL row.
     """
-    first = first_rows(label_vitals(_in_a_stay(events), items), "category")
-    return _of_known_stays(wide(first, "category", vital_names(items), MIN_MAX_MEAN), stays)
+    first = first_rows(_vital_rows(_in_a_stay(events), items), "category_no")
+    return _of_known_stays(wide(first, "category_no", vital_names(items), MIN_MAX_MEAN), stays)
 
 
 def near_start(events: DataFrame, stays: DataFrame, before: int, after: int) -> DataFrame:
@@ -135,15 +145,15 @@ def near_start(events: DataFrame, stays: DataFrame, before: int, after: int) ->
 
 def labs_window(events: DataFrame, stays: DataFrame, items=LAB_ITEMS, before=6, after=6) -> DataFrame:
     """Minimum and maximum per label around the start; stays without labs are kept, all NULL."""
-    rows = near_start(label_labs(events, items), stays, before, after)
-    found = wide(rows, "label", lab_labels(items), MIN_MAX)
+    rows = near_start(_lab_rows(events, items), stays, before, after)
+    found = wide(rows, "label_no", lab_labels(items), MIN_MAX)
     return stays.select(*STAY).distinct().join(found, STAY, "left")
 
 
 def vitals_window(events: DataFrame, stays: DataFrame, items=VITAL_ITEMS, before=0, after=6) -> DataFrame:
     """Minimum, maximum and mean per category after the start; stays without events are dropped."""
-    rows = near_start(label_vitals(events, items), stays, before, after)
-    return wide(rows, "category", vital_names(items), MIN_MAX_MEAN)
+    rows = near_start(_vital_rows(events, items), stays, before, after)
+    return wide(rows, "category_no", vital_names(items), MIN_MAX_MEAN)
 
 
 def first_unit_value(events: DataFrame, items, out: str) -> DataFrame:
@@ -174,3 +184,40 @@ def first_weight(events: DataFrame, items=WEIGHT_ITEMS) -> DataFrame:
 
 def first_height(events: DataFrame, items=HEIGHT_ITEMS) -> DataFrame:
     return first_unit_value(events, items, "height_first")
+
+
+def first_charts(events: DataFrame, stays: DataFrame, vitals=VITAL_ITEMS, weights=WEIGHT_ITEMS,
+                 heights=HEIGHT_ITEMS) -> DataFrame:
+    """``first_vitals`` with first weight and height beside it, from one scan of the chart table.
+
+    Weight and height are two more categories of the same ranking: of the rows at their first time
+    the smallest converted value is the one ``first_unit_value`` picks. Stays without any row of a
+    vital item have no row, as in ``first_vitals``.
+    """
+    items = {i.item_id for i in [*vitals, *weights, *heights]}
+    listed = _in_a_stay(events).filter(
+        F.col("item_id").isin(sorted(items)) & not_marked(F.col("error"))
+    ).select(*STAY, "item_id", "ts", "value")
+    is_vital = F.col("factor").isNull()
+    rows = (
+        lookup(listed, chart_table(events.sparkSession, vitals, weights, heights), "item_id", "inner")
+        .filter(is_vital | (F.col("value").isNotNull() & (F.col("value") != 0)))
+        .select(
+            *STAY, "ts", is_vital.alias("vital"),
+            F.when(~is_vital | _in_range(), F.col("valid_no")).alias("category_no"),
+            F.when(is_vital, _celsius()).otherwise(F.col("value") * F.col("factor")).alias("value"),
+        )
+    )
+
+    names = vital_names(vitals)
+
+    def pick(no):
+        return F.when(F.col("category_no") == no, F.col("value"))
+
+    out = first_rows(rows, "category_no").groupBy(*STAY).agg(
+        F.max("vital").alias("_vital"),
+        *[fn(pick(no)).alias(n + suffix) for no, n in enumerate(names) for suffix, fn in MIN_MAX_MEAN.items()],
+        round_half_away(F.min(pick(len(names))), 2).alias("weight"),
+        round_half_away(F.min(pick(len(names) + 1)), 2).alias("height"),
+    )
+    return _of_known_stays(out.filter("_vital").drop("_vital"), stays)

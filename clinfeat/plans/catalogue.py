@@ -442,6 +442,14 @@ def multi_hot_drugs(r):
     return meds.multi_hot_drugs(r.enc.select("enc_id", F.col("expire").alias("outcome")), meds.early(classified(r)))
 
 
+@query
+def prescriptions_per_day(r):
+    """Stays with a prescription on each of the first ten days."""
+    per_day = meds.names_per_day(classified(r))
+    early_days = per_day.filter((F.col("day_prescribed") > 0) & (F.col("day_prescribed") < 11))
+    return profile.counts(early_days, "day_prescribed")
+
+
 @query
 def drug_cumulative(r):
     rx = classified(r)

@@ -51,12 +51,15 @@ def all_outcomes(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:
 
 
 def joined_features(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:
-    """Labs and vitals with weight, height, age and gender, one row per stay that has both."""
-    vitals = measures.first_vitals(src.charts, src.admissions, codes.vitals)
+    """Labs and vitals with weight, height, age and gender, one row per stay that has both.
+
+    The chart table, the largest of all, is read once for vitals, weight and height.
+    """
+    charts = measures.first_charts(
+        src.charts, src.admissions, codes.vitals, codes.weights, codes.heights
+    )
     labs = measures.first_labs(src.labs, src.admissions, codes.labs)
-    weight = measures.first_weight(src.charts, codes.weights)
-    height = measures.first_height(src.charts, codes.heights)
-    return features.numeric_features(features.vitals_joined(vitals, info, weight, height), labs)
+    return features.numeric_features(features.with_stay_facts(charts, info), labs)
 
 
 def sessions(info: DataFrame) -> DataFrame:

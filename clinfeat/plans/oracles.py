@@ -404,6 +404,9 @@ oracle("drug_sets", """
       string_agg(DISTINCT association, '|' ORDER BY association) AS associations
     FROM classified WHERE day_prescribed <= 2 GROUP BY enc_id""", "classified")
 oracle("multi_hot_drugs", "SELECT * FROM multi_hot", "multi_hot")
+oracle("prescriptions_per_day", """
+    SELECT day_prescribed, count(*) AS n FROM (SELECT DISTINCT subj_id, enc_id, day_prescribed FROM classified)
+    WHERE day_prescribed BETWEEN 1 AND 10 GROUP BY 1""", "classified")
 oracle("drug_cumulative", """
     SELECT a.subj_id, a.enc_id, a.day_prescribed, count(DISTINCT b.drug_class) AS n_classes,
       count(DISTINCT b.drug_name) AS n_names
