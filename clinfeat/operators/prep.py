@@ -183,7 +183,8 @@ def impute_nearest(df: DataFrame, columns: list[str], id_col: str = "enc_id", k:
         return frame.select(F.col(id_col).alias("id"), F.array(*cols).alias("x"))
 
     rows, source = points(df), points(df if donors is None else donors)
-    incomplete = rows.filter(F.exists("x", lambda v: v.isNull()))
+    # copies of a row (oversampling) get the same answer, so one of them is enough
+    incomplete = rows.filter(F.exists("x", lambda v: v.isNull())).dropDuplicates(["id"])
 
     def blocks(frame):
         return F.greatest(F.lit(1), F.ceil(frame.agg(F.count("*")).scalar() / block_rows)).cast("int")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinfeat.learning import evaluate, models
+from clinfeat.plans.dataset import prepare
 from clinfeat.sources import stages
 
 FEATURES = ["a", "b", "c"]
@@ -119,3 +120,38 @@ def test_what_if_scores_each_drug_once(rows):
     band = evaluate.risk_band(F.col("p"))
     df = rows.sparkSession.createDataFrame([(0.40,), (0.41,), (0.60,)], "p double")
     assert [r[0] for r in df.select(band).collect()] == ["low", "moderate", "high"]
+
+
+@pytest.fixture(scope="module")
+def dataset(rows):
+    gap = F.pmod(F.xxhash64("enc_id"), F.lit(10)) == 0
+    return rows.withColumns({
+        "expire": (F.col("enc_id") % 3 == 0).cast("int"), "b": F.when(~gap, F.col("b")),
+    })
+
+
+@pytest.mark.parametrize("strategy", ["nearest", "median"])
+@pytest.mark.parametrize("under,total", [(True, 120), (False, 360)])
+def test_prepare_balances_splits_scales_and_fills(dataset, strategy, under, total):
+    p = prepare(dataset, FEATURES, under=under, strategy=strategy)
+    train, test = p.train.count(), p.test.count()
+    assert train + test == total and test == total // 5
+    for df in (p.train, p.test):
+        assert df.filter(F.col("a").isNull() | F.col("b").isNull()).count() == 0
+        sizes = {r["count"] for r in df.groupBy("outcome").count().collect()}
+        assert len(sizes) == 1
+    assert p.scaler.binary == ["c"]
+    mean = p.train.agg(F.avg("a")).first()[0]
+    assert abs(mean) < 1e-9
+
+
+def test_prepare_four_classes(dataset):
+    p = prepare(dataset, FEATURES, four_classes=True, strategy="median")
+    labels = {r["outcome"] for r in p.train.select("outcome").distinct().collect()}
+    assert labels == {0, 1, 2, 3}
+
+
+def test_boosted_grid_by_recall(rows):
+    _, table = models.cross_validate(rows, FEATURES, "boosted", {"maxDepth": [2], "minInstancesPerNode": [1, 5]},
+                                     metric="recallByLabel", folds=2, fixed={"maxIter": 3})
+    assert table.count() == 2 and 0 <= table.first()["mean_score"] <= 1
