@@ -1,6 +1,10 @@
 """Model fitting with MLlib: every fit aggregates on the executors, only the model comes back."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
 )
@@ -8,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import SEED
@@ -81,8 +85,13 @@ def fold(id_col: str, folds: int, seed: int = SEED):
 
 def cross_validate(df: DataFrame, features: list[str], model: str, grid: dict[str, list],
                    metric: str = "areaUnderROC", folds: int = 5, parallelism: int = 4,
-                   fixed: dict | None = None):
-    """Grid search with fixed folds. Returns the fitted search and the ranked table of settings."""
+                   fixed: dict | None = None) -> tuple[Model, DataFrame]:
+    """Grid search with hash folds. Returns the best model, fitted on all rows, and the ranked
+    table of settings.
+
+    ``CrossValidator`` would check a given fold column with a Python function per row, so the folds
+    are plain filters here; several fits run at a time.
+    """
     stage = estimator(model, **(fixed or {}))
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -95,17 +104,24 @@ def cross_validate(df: DataFrame, features: list[str], model: str, grid: dict[st
     data = assembler(features).transform(
         with_class_weights(df).withColumn("_fold", fold("enc_id", folds))
     ).select("enc_id", LABEL, "features", "_weight", "_fold")
-    search = CrossValidator(
-        estimator=stage, estimatorParamMaps=settings, evaluator=evaluator, numFolds=folds,
-        foldCol="_fold", parallelism=parallelism, collectSubModels=False,
-    ).fit(data)
+
+    def held_out_score(job):
+        k, setting = job
+        fitted = stage.fit(data.filter(F.col("_fold") != k), setting)
+        return evaluator.evaluate(fitted.transform(data.filter(F.col("_fold") == k)))
+
+    jobs = [(k, s) for s in settings for k in range(folds)]
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(inheritable_thread_target(df.sparkSession)(held_out_score), jobs)
+    per_setting = [scores[i * folds:(i + 1) * folds] for i in range(len(settings))]
     rows = [
-        (*[float(s[stage.getParam(n)]) for n in grid], float(mean), float(std))
-        for s, mean, std in zip(settings, search.avgMetrics, search.stdMetrics)
+        (*[float(s[stage.getParam(n)]) for n in grid], float(fmean(each)), float(pstdev(each)))
+        for s, each in zip(settings, per_setting)
     ]
+    best = max(range(len(settings)), key=lambda i: fmean(per_setting[i]))
     names = [*grid, "mean_score", "std_score"]
     table = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
-    return search, table.orderBy(F.desc("mean_score"), *names)
+    return stage.fit(data, settings[best]), table.orderBy(F.desc("mean_score"), *names)
 
 
 def eliminate_features(df: DataFrame, features: list[str], metric: str = "accuracy",
@@ -114,14 +130,14 @@ def eliminate_features(df: DataFrame, features: list[str], metric: str = "accura
 
     One row per number of features: its score, the features, and those dropped next.
     """
+    spread = df.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    std = {c: spread[f"s{i}"] or 0.0 for i, c in enumerate(features)}
     left, rows = list(features), []
     while left:
-        search, table = cross_validate(df, left, "logistic", {"regParam": [0.0]}, metric, folds)
-        coefficients = search.bestModel.coefficients.toArray()
-        spread = df.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(left)]).first()
-        strength = {c: abs(coefficients[i]) * (spread[f"s{i}"] or 0.0) for i, c in enumerate(left)}
+        best, table = cross_validate(df, left, "logistic", {"regParam": [0.0]}, metric, folds)
+        strength = {c: abs(b) * std[c] for c, b in zip(left, best.coefficients.toArray())}
         weakest = sorted(left, key=lambda c: (strength[c], c))[:step]
-        rows.append((len(left), float(search.avgMetrics[0]), list(left), weakest))
+        rows.append((len(left), table.first()["mean_score"], list(left), weakest))
         left = [c for c in left if c not in weakest]
     return df.sparkSession.createDataFrame(
         rows, "n_features int, mean_score double, features array<string>, dropped array<string>"

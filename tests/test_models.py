@@ -70,10 +70,10 @@ def test_auc_counts_ties_half(spark):
 
 
 def test_grid_search_ranks_settings(rows):
-    search, table = models.cross_validate(rows, FEATURES, "logistic", {"regParam": [0.01, 100.0]}, folds=3)
+    best, table = models.cross_validate(rows, FEATURES, "logistic", {"regParam": [0.01, 100.0]}, folds=3)
     scores = [r["mean_score"] for r in table.collect()]
     assert scores == sorted(scores, reverse=True) and len(scores) == 2
-    assert search.bestModel.coefficients.size == 3
+    assert best.coefficients.size == 3
 
 
 def test_elimination_keeps_the_strong_feature_longest(rows):

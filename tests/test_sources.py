@@ -51,4 +51,21 @@ def test_materialize_cuts_the_lineage(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert stages.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    folder = stages.shared_folder(spark)
+    assert folder == (given.rstrip("/") if given else stages.LOCAL_FOLDERS[spark.sparkContext.applicationId])
+    assert folder == stages.shared_folder(spark)
+
+
+class FakeSession:
+    """A session without the setting, on a given master."""
+
+    def __init__(self, master):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("F", (), {"get": staticmethod(lambda key, default: default)})()
+
+
+def test_a_cluster_needs_the_setting():
+    with pytest.raises(ValueError):
+        stages.shared_folder(FakeSession("spark://host:7077"))
+    assert stages.shared_folder(FakeSession("local[2]"))
