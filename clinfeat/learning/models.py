@@ -1,9 +1,5 @@
 """Model fitting with MLlib: every fit aggregates on the executors, only the model comes back."""
 
-from multiprocessing.pool import ThreadPool
-from statistics import fmean, pstdev
-
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
@@ -12,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import SEED
@@ -87,11 +83,7 @@ def cross_validate(df: DataFrame, features: list[str], model: str, grid: dict[st
                    metric: str = "areaUnderROC", folds: int = 5, parallelism: int = 4,
                    fixed: dict | None = None) -> tuple[Model, DataFrame]:
     """Grid search with hash folds. Returns the best model, fitted on all rows, and the ranked
-    table of settings.
-
-    ``CrossValidator`` would check a given fold column with a Python function per row, so the folds
-    are plain filters here; several fits run at a time.
-    """
+    table of settings."""
     stage = estimator(model, **(fixed or {}))
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -104,24 +96,17 @@ def cross_validate(df: DataFrame, features: list[str], model: str, grid: dict[st
     data = assembler(features).transform(
         with_class_weights(df).withColumn("_fold", fold("enc_id", folds))
     ).select("enc_id", LABEL, "features", "_weight", "_fold")
-
-    def held_out_score(job):
-        k, setting = job
-        fitted = stage.fit(data.filter(F.col("_fold") != k), setting)
-        return evaluator.evaluate(fitted.transform(data.filter(F.col("_fold") == k)))
-
-    jobs = [(k, s) for s in settings for k in range(folds)]
-    with ThreadPool(parallelism) as pool:
-        scores = pool.map(inheritable_thread_target(df.sparkSession)(held_out_score), jobs)
-    per_setting = [scores[i * folds:(i + 1) * folds] for i in range(len(settings))]
+    search = CrossValidator(
+        estimator=stage, estimatorParamMaps=settings, evaluator=evaluator, numFolds=folds,
+        foldCol="_fold", parallelism=parallelism,
+    ).fit(data)
     rows = [
-        (*[float(s[stage.getParam(n)]) for n in grid], float(fmean(each)), float(pstdev(each)))
-        for s, each in zip(settings, per_setting)
+        (*[float(s[stage.getParam(n)]) for n in grid], float(mean), float(std))
+        for s, mean, std in zip(settings, search.avgMetrics, search.stdMetrics)
     ]
-    best = max(range(len(settings)), key=lambda i: fmean(per_setting[i]))
     names = [*grid, "mean_score", "std_score"]
     table = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
-    return stage.fit(data, settings[best]), table.orderBy(F.desc("mean_score"), *names)
+    return search.bestModel, table.orderBy(F.desc("mean_score"), *names)
 
 
 def eliminate_features(df: DataFrame, features: list[str], metric: str = "accuracy",
