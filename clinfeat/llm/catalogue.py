@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import near
+from clinfeat.llm import near, substring
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -17,3 +17,13 @@ def query(fn):
 def op8_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents whose four-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near.near_duplicates(table(spark, folder, "documents"), n=4, percent=80)
+
+
+@query
+def op2_fm_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without the 20-word windows that also start earlier."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring.without_repeats(docs, window=20).select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.col("_kept_sha256").alias("kept_sha256"),
+    )
