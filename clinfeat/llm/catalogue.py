@@ -1,12 +1,16 @@
 """The queries opN_<name> over the test tables, with production parameters."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import near, substring
+from clinfeat.llm import decontam, langid, near, packing, substring
 from clinfeat.llm.shared import table
 
 QUERIES = {}
 
+# The tokenizer's file lies beside the installed package, on the driver and on every executor.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -27,3 +31,27 @@ def op2_fm_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
         F.col("_kept_sha256").alias("kept_sha256"),
     )
+
+
+@query
+def op3_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER, context=1024)
+    return pieces.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
+
+
+@query
+def op4_containment_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 0.8 of the five-word shingles of a benchmark item."""
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=5, share=0.8)
+
+
+@query
+def op7_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    field = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), field).select(
+        "doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
+    )

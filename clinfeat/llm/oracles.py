@@ -1,3 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES = {}
+ORACLES = {
+    "op4_containment_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+        n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) WHERE doc_id IS NOT NULL AND item_id IS NOT NULL GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id)
+        WHERE n_shared / n_item >= 0.8
+    """,
+}

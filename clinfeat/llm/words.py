@@ -44,9 +44,9 @@ class Block:
     ``starts``/``ends``: bytes of each word in ``data``. ``bounds``: the words of row i are bounds[i]:bounds[i + 1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first_row: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first_row: int, between: np.ndarray = _SPACE):
         self.data, self.offsets, self.first_row, self.rows = data, offsets, first_row, len(offsets) - 1
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -68,7 +68,7 @@ class Block:
         return mix((total[self.ends] - total[self.starts]) * down[self.starts] + size * np.uint64(_RUN))
 
 
-def blocks(texts: pa.Array):
+def blocks(texts: pa.Array, between: np.ndarray = _SPACE):
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -77,7 +77,7 @@ def blocks(texts: pa.Array):
     while row < len(texts):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
         stop = min(stop, len(texts))
-        yield Block(data[offsets[row]:offsets[stop]], offsets[row:stop + 1] - offsets[row], row)
+        yield Block(data[offsets[row]:offsets[stop]], offsets[row:stop + 1] - offsets[row], row, between)
         row = stop
 
 
