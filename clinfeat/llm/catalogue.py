@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import decontam, langid, near, packing, substring
+from clinfeat.llm import chat, decontam, html, langid, near, packing, substring, urls
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -55,3 +55,31 @@ def op7_crf_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), field).select(
         "doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
     )
+
+
+@query
+def op5_boosted_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by the trees."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judge(pages).select(
+        "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict")
+    )
+
+
+@query
+def op9_grammar_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one with control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
+    )
+    return chat.conversation_digests(chat.formatted_turns(rows.union(extra)))
+
+
+@query
+def op10_scored_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", F.col("_main_text").alias("text"), F.col("_n_chars").alias("n_chars"))
