@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import chat, decontam, html, langid, near, packing, substring, urls
+from clinfeat.llm import chat, decontam, html, langid, near, packing, substring, urls, vectors
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -83,3 +83,9 @@ def op10_scored_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html.extract(pages).select("page_id", "url", F.col("_main_text").alias("text"), F.col("_n_chars").alias("n_chars"))
+
+
+@query
+def op1_graph_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.9 or more."""
+    return vectors.linked(table(spark, folder, "embeddings"), threshold=0.9)
