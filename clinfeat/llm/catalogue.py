@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import chat, decontam, html, langid, near, packing, substring, urls, vectors
+from clinfeat.llm import chat, decontam, html, langid, licenses, near, packing, substring, urls, vectors
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -89,3 +89,10 @@ def op10_scored_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op1_graph_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors linked by a cosine of 0.9 or more."""
     return vectors.linked(table(spark, folder, "embeddings"), threshold=0.9)
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence statements in the paragraphs of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs))
