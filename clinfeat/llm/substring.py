@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.llm import words
-from clinfeat.llm.shared import map_batches
+from clinfeat.llm.shared import cut, map_batches
 
 GRAM = 5
 SHARD_WORDS = 1 << 18
 FINE = 100_000
+HELD = 30_000
 
 
 class Runs:
@@ -67,37 +68,61 @@ def _minimizers(batch, window: int):
         )
 
 
+RUN_SCHEMA = "m long, k1 long, k2 long, doc_id long, at int, n int, run binary"
+_RUN_TYPES = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+_RUN_NAMES = ["m", "k1", "k2", "doc_id", "at", "n", "run"]
+
+
 def _keys(text: bytes) -> tuple[int, int]:
     digest = hashlib.blake2b(text, digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _run_texts(batch, window: int):
-    """The words of each wanted run; the runs of very frequent minimizers window by window."""
-    ids, wanted = batch.column("doc_id").to_pylist(), batch.column("wanted")
-    for block in words.blocks(batch.column("text")):
-        runs, raw = Runs(block, window), block.data.tobytes()
-        by_row = np.searchsorted(runs.row, np.arange(block.rows + 1))
-        out = [[] for _ in range(7)]
-        for i in range(block.rows):
-            ask = wanted[block.first_row + i].as_py()
-            fine = {x["at"]: x["fine"] for x in ask}
-            for k in range(by_row[i], by_row[i + 1]):
-                at = int(runs.at[k])
-                if at not in fine:
-                    continue
-                word, count = int(runs.word[k]), int(runs.windows[k])
-                for part in range(count) if fine[at] else [None]:
-                    first, n = (word, count) if part is None else (word + part, 1)
-                    text = b" ".join(raw[block.starts[first]:block.ends[first + n + window - 2]].split())
+def _run_texts(batches, window: int):
+    """The words of wanted runs; those of very frequent minimizers window by window.
+
+    Of equal runs a task passes on the earliest, and the others as removed (without ``run``), so a hot passage reaches
+    its shard once a task. What is held is given out after ``HELD`` runs.
+    """
+    held: dict = {}
+    gone: list = []
+
+    def out():
+        rows = [(m, k1, k2, doc, at, n, run) for (m, k1, k2), (doc, at, n, run) in held.items()] + gone
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RUN_TYPES)], _RUN_NAMES) if rows else None
+        held.clear(), gone.clear()
+        return made
+
+    for batch in batches:
+        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("_wanted")
+        asked, asked_row = wanted.flatten().to_numpy(), np.repeat(np.arange(len(ids)), wanted.value_lengths().to_numpy())
+        fine_places = (asked_row.astype(np.int64) << 32 | asked >> 1)[asked & 1 == 1]
+        places = asked_row.astype(np.int64) << 32 | asked >> 1
+        for block in words.blocks(batch.column("text")):
+            runs, raw = Runs(block, window), block.data.tobytes()
+            key = (block.first_row + runs.row) << 32 | runs.at
+            picked = np.flatnonzero(np.isin(key, places))
+            fine = np.isin(key[picked], fine_places)
+            begin, last = block.starts[runs.word[picked]], runs.word[picked] + runs.windows[picked] + window - 2
+            end = block.ends[last]
+            for k, split, x, y in zip(picked.tolist(), fine.tolist(), begin.tolist(), end.tolist()):
+                doc, at, count = ids[block.first_row + runs.row[k]], int(runs.at[k]), int(runs.windows[k])
+                found = raw[x:y].split()
+                for part in range(count) if split else (None,):
+                    text = b" ".join(found if part is None else found[part:part + window])
                     k1, k2 = _keys(text)
-                    m = int(runs.minimizer[k].view(np.int64)) if part is None else k1
-                    for column, x in zip(out, (m, k1, k2, ids[block.first_row + i], at + (part or 0), n, text)):
-                        column.append(x)
-        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(out, types)], ["m", "k1", "k2", "doc_id", "at", "n", "run"]
-        )
+                    name = (k1 if split else int(runs.minimizer[k].view(np.int64)), k1, k2)
+                    row = (doc, at + (part or 0), 1 if split else count, text)
+                    other = held.get(name)
+                    if other is not None:
+                        row, later = (row, other) if row[:2] < other[:2] else (other, row)
+                        if later[:2] != row[:2]:
+                            gone.append((doc, k1, k2, *later[:3], None))
+                    held[name] = row
+            if len(held) >= HELD or len(gone) >= HELD:
+                yield out()
+    if held or gone:
+        yield out()
 
 
 class FmIndex:
@@ -200,29 +225,39 @@ def _earlier(runs: list, window: int):
 
 
 def _shards(batches, window: int):
-    """Streams classes in the order of their minimizers and closes a shard at the end of one."""
-    pending, count, last = [], 0, None
+    """Streams runs in the order (minimizer, words, place) and closes a shard at the end of a minimizer.
+
+    The first run of equal ones is their class; the others are removed as they pass.
+    """
+    pending, count, last, own, place = [], 0, None, None, None
+    gone: list = []
 
-    def close():
-        doc, at, mask = _earlier(pending, window)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at.astype(np.int32)), pa.array(mask)], ["doc_id", "at", "mask"])
+    def rows(doc, at, mask):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(mask, pa.int64())], ["doc_id", "at", "mask"])
 
     for batch in batches:
-        for m, doc, at, n, run in zip(*(batch.column(c).to_pylist() for c in ("m", "doc_id", "at", "n", "run"))):
+        for m, k1, k2, doc, at, n, run in zip(*(batch.column(c).to_pylist() for c in _RUN_NAMES)):
+            if run is None or (m, k1, k2) == own:
+                if run is None or (doc, at) != place:
+                    gone.append((doc, at, (1 << n) - 1))
+                continue
             if count >= SHARD_WORDS and m != last:
-                yield close()
+                yield rows(*_earlier(pending, window))
                 pending, count = [], 0
             pending.append((doc, at, run))
             count += n + window
-            last = m
+            last, own, place = m, (m, k1, k2), (doc, at)
+        if gone:
+            yield rows(*zip(*gone))
+            gone.clear()
     if pending:
-        yield close()
+        yield rows(*_earlier(pending, window))
 
 
 def _kept(batch, window: int):
     """Words that no removed window covers; a text that loses nothing stays as it is."""
     removed, copies = batch.column("_removed").to_pylist(), batch.column("_copy").to_pylist()
-    texts = batch.column("_text")
+    texts = batch.column("text")
     totals, gone, kept, digests = [], [], [], []
     for block in words.blocks(texts):
         raw = block.data.tobytes()
@@ -264,12 +299,15 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     if not GRAM < window <= GRAM + 58:
         raise ValueError(f"window: {GRAM + 1} to {GRAM + 58} words")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    others = [c for c in docs.columns if not c.startswith("_")]
+    docs = docs.select(*others).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    known = docs.where("doc_id IS NOT NULL")
+    texts = known.select("doc_id", "text")
 
     # Equal texts: all windows of a later one also start in the first.
     keyed = texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("x"), F.sha2("text", 256).alias("s"))
     first = keyed.groupBy("x", "s").agg(F.min("doc_id").alias("first"))
-    copies = (
+    copies = cut(
         keyed.join(first, ["x", "s"]).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("first")).alias("_copy")).where("_copy")
     )
 
@@ -277,28 +315,18 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     often = found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1")
     wanted = (
         found.join(often, "m").groupBy("doc_id")
-        .agg(F.collect_set(F.struct("at", (F.col("c") > FINE).alias("fine"))).alias("wanted"))
+        .agg(F.collect_set(F.col("at") * 2 + (F.col("c") > FINE).cast("int")).alias("_wanted"))
         .join(copies, "doc_id", "left_anti")
     )
-    runs = map_batches(
-        texts.join(wanted, "doc_id"), lambda b: _run_texts(b, window),
-        "m long, k1 long, k2 long, doc_id long, at int, n int, run binary",
-    )
-    classes = runs.groupBy("m", "k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.first("n").alias("n"), F.first("run").alias("run"))
-    sharded = classes.select("m", "p.doc_id", "p.at", "n", "run").repartition("m").sortWithinPartitions("m")
-    matched = sharded.mapInArrow(lambda batches: _shards(batches, window), "doc_id long, at int, mask long")
-    later = (
-        runs.select("m", "k1", "k2", "doc_id", "at", "n").join(classes.select("m", "k1", "k2", "p"), ["m", "k1", "k2"])
-        .where(F.struct("doc_id", "at") > F.col("p"))
-        .select("doc_id", "at", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    )
-    removed = matched.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("_removed"))
-
-    others = [c for c in docs.columns if not c.startswith("_")]
-    whole = docs.select(*others, F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
-    marks = removed.join(copies, "doc_id", "full_outer").withColumnRenamed("doc_id", "_id")
-    joined = whole.join(marks, "_id", "left").select(*others, "_text", "_removed", F.coalesce("_copy", F.lit(False)).alias("_copy"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
+    # Both joins read all columns of the same rows by doc_id, so that one shuffle of the texts serves both.
+    runs = known.join(wanted, "doc_id").mapInArrow(lambda batches: _run_texts(batches, window), RUN_SCHEMA)
+    sharded = runs.repartition("m").sortWithinPartitions("m", "k1", "k2", "doc_id", "at")
+    later = sharded.mapInArrow(lambda batches: _shards(batches, window), "doc_id long, at int, mask long")
+    removed = later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("_removed"))
+    marks = removed.join(copies, "doc_id", "full_outer")
+    marked = known.join(marks, "doc_id", "left").select(*others, "_removed", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+    unknown = docs.where("doc_id IS NULL").select(*others, F.lit(None).cast("array<struct<at:int,mask:bigint>>").alias("_removed"), F.lit(False).alias("_copy"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     return map_batches(
-        joined, lambda b: _kept(b, window), f"{schema}, _kept_text string, _n_words long, _n_removed long, _kept_sha256 string"
-    ).withColumn("_kept_text", F.when(F.col("text").isNotNull(), F.col("_kept_text")))
+        marked.union(unknown), lambda b: _kept(b, window), schema + "_kept_text string, _n_words long, _n_removed long, _kept_sha256 string"
+    )
