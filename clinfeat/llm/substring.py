@@ -300,7 +300,9 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     if not GRAM < window <= GRAM + 58:
         raise ValueError(f"window: {GRAM + 1} to {GRAM + 58} words")
     others = [c for c in docs.columns if not c.startswith("_")]
-    docs = docs.select(*others).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    # A cast only where it is needed: an alias in one of the two joins would keep Spark from using its shuffle for both.
+    kinds = {"doc_id": "bigint", "text": "string"}
+    docs = docs.select(*others).withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if dict(docs.dtypes)[c] != t})
     known = docs.where("doc_id IS NOT NULL")
     texts = known.select("doc_id", "text")
 
