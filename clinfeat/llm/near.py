@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     member = cut(
         signed.select("doc_id", "n_shingles", "k1", "k2")
         .join(classes, ["k1", "k2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     )
     banded = (
         known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
