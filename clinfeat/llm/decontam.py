@@ -35,9 +35,9 @@ def _with_hashes(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def sketches(items: DataFrame, n: int, share: float) -> DataFrame:
-    """(item_id, size_class, h): the sketch of each item of (item_id, words)."""
-    sized = _with_hashes(items, n).withColumn("hashes", F.array_distinct("hashes")).withColumn("size", F.size("hashes")).where("size > 0")
+def sketches(items: DataFrame, share: float) -> DataFrame:
+    """(item_id, size_class, h): the sketch of each item of (item_id, hashes), whose shingle hashes are distinct."""
+    sized = items.withColumn("size", F.size("hashes")).where("size > 0")
     size_class = F.floor(F.log2("size")).cast("int")
     most = F.expr("shiftleft(1, size_class + 1) - 1")
     length = F.floor(most - F.ceil(most * F.lit(share) - F.lit(1e-9))).cast("int") + 1
@@ -59,12 +59,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text").cast("string")).alias("words")).where(
         "item_id IS NOT NULL"
     )
+    # Written once: a filter on an array that is still an expression would be computed again for every element below it.
+    items = cut(_with_hashes(items, n).select("item_id", F.array_distinct("hashes").alias("hashes"), shingle_texts("words", n).alias("item_shingles")))
     parts = texts.select("doc_id", word_array(F.col("text")).alias("words"))
     # The outer form, since Spark would put the whole array expression into a filter below the plain one.
     hashed = _with_hashes(parts, n).select("doc_id", F.explode_outer("hashes").alias("h"))
     # Spark broadcasts the sketches if their size allows it, and else joins by shuffles.
-    found = hashed.join(sketches(items, n, share), "h").select("doc_id", "item_id").distinct()
-    sets = items.select("item_id", shingle_texts("words", n).alias("item_shingles")).where(F.size("item_shingles") > 0)
+    found = hashed.join(sketches(items, share), "h").select("doc_id", "item_id").distinct()
+    sets = items.select("item_id", "item_shingles").where(F.size("item_shingles") > 0)
     held = parts.join(cut(found), "doc_id").withColumn("doc_shingles", shingle_texts("words", n)).drop("words").join(sets, "item_id")
     shared = held.select(
         "doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item"),

@@ -212,14 +212,14 @@ def labelled_words(field: Field, texts: pa.Array):
     for block in words.blocks(texts, _BETWEEN):
         begins = np.zeros(len(block.starts), bool)
         begins[block.bounds[:-1][block.counts > 0]] = True
-        yield block, field.marginals(field.emissions(features(block)), begins)[0] if len(begins) else np.zeros((0, len(field.labels)))
+        yield block, field.marginals(field.emissions(features(block)), begins)[0] if len(begins) and field.labels else np.zeros((len(begins), len(field.labels)))
 
 
 def _predicted(batch, field: Field):
     texts = batch.column("_text")
     for block, share in labelled_words(field, texts):
         names, scores = [], []
-        mass = np.add.reduceat(np.concatenate([share, np.zeros((1, share.shape[1]))]), block.bounds[:-1]) if len(share) else None
+        mass = np.add.reduceat(np.concatenate([share, np.zeros((1, share.shape[1]))]), block.bounds[:-1]) if share.size else None
         for i in range(block.rows):
             n = block.counts[i]
             raw = block.data[block.offsets[i]:block.offsets[i + 1]]

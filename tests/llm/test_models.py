@@ -1,0 +1,170 @@
+"""Language ID, URL filter, licence scan and page extraction."""
+
+import html as entities
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from clinfeat.llm import html, langid, licenses, urls
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_forward_backward_is_exact():
+    """Against the sum over all label sequences, across chunks and text beginnings."""
+    rng = np.random.default_rng(1)
+    field = langid.Field(["a", "b", "c"])
+    field.transition, field.first = rng.normal(size=(3, 3)), rng.normal(size=3)
+    emission = rng.normal(size=(150, 3)) * 2
+    begins = np.zeros(150, bool)
+    begins[[0, 5, 6, 70, 149]] = True
+    share, moves = field.marginals(emission, begins)
+    for a, b in ((0, 5), (5, 6), (6, 70), (70, 149), (149, 150)):
+        e = emission[a:b]
+        f = [field.first + e[0]]
+        for row in e[1:]:
+            f.append(np.logaddexp.reduce(f[-1][:, None] + field.transition, 0) + row)
+        g = [np.zeros(3)]
+        for row in e[:0:-1]:
+            g.append(np.logaddexp.reduce(field.transition + row + g[-1], 1))
+        both = np.array(f) + np.array(g[::-1])
+        both = np.exp(both - both.max(1, keepdims=True))
+        assert np.allclose(share[a:b], both / both.sum(1, keepdims=True))
+    assert math.isclose(moves.sum(), 150 - 5)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def test_language_on_held_out_documents(spark, documents):
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    field = langid.fit(documents.where(~held))
+    found = langid.predict(documents.where(held).select("doc_id", "text", "lang"), field)
+    right = found.agg(F.avg((F.col("lang") == F.col("_lang")).cast("int"))).first()[0]
+    assert right > 0.97
+    texts = {r.lang: r.text for r in documents.where("length(text) > 400").dropDuplicates(["lang"]).collect()}
+    odd = [(1, None), (2, ""), (3, "12 — 34 %%%"), (4, texts["fr"]), (5, texts["fr"]), (6, "ß"), (7, "漢字"), (8, texts["de"] * 400)]
+    df = spark.createDataFrame(odd, "doc_id long, text string").withColumn("share", F.lit("clash"))
+    got = {r.doc_id: (r._lang, r._score) for r in langid.predict(df, field).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[4] == got[5] and got[4][0] == "fr" and got[8][0] == "de" and got[7][0] in field.labels
+    assert all(0 <= s <= 1 for _, s in got.values())
+    # Words of a text that changes its language in the middle.
+    mixed = " ".join(texts["en"].split()[:40] + texts["es"].split()[:40])
+    (block, share), = langid.labelled_words(field, pa.array([mixed]))
+    label = np.array(field.labels)[share.argmax(1)]
+    half = int((block.starts < len(" ".join(texts["en"].split()[:40]).encode())).sum())
+    assert (label[:half] == "en").mean() > 0.85 and (label[half:] == "es").mean() > 0.85
+    assert langid.predict(df.limit(0), field).count() == 0
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    field = langid.fit(df)
+    assert field.labels == [] and langid.predict(df, field).first()._lang == "und"
+
+
+def test_url_parts_and_rules(spark):
+    cases = {
+        "http://WWW.Example.com/en/1?x#y": ("www.example.com", "/en/1", "www.example.com/en/"),
+        "https://a.www.example.com/en/": ("a.www.example.com", "/en/", "www.example.com/en/"),
+        "https://blog.example.com/en/2": ("blog.example.com", "/en/2", "example.com/en/"),
+        "https://blog.example.com/en": ("blog.example.com", "/en", "com/"),
+        "http://notexample.com/en/2": ("notexample.com", "/en/2", "com/"),
+        "http://x.net/es/9": ("x.net", "/es/9", "net/es/"), "http://net/fr/": ("net", "/fr/", "net/fr/"),
+        "http://x.net/en/9": ("x.net", "/en/9", None), "http://x.com": ("x.com", "", None), "http://x.com?/en/": ("x.com", "", None),
+        "com/x": ("", "", None), "": ("", "", None), None: ("", "", None), "a://b://c.com/d": ("b:", "//c.com/d", None),
+        "x\ny://É.COM/": ("É.com", "/", "com/"),
+    }
+    rows = [(i, u, "h") for i, u in enumerate(cases)]
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, host string")
+    got = urls.judge(df).collect()
+    assert len(got) == 2 * len(rows) and all(r.host == "h" for r in got)
+    says = dict(urls.RULES)
+    for r in got:
+        host, path, rule = cases[r.url]
+        assert (r._host, r._path, r._rule) == (host, path, rule), r.url
+        assert r._verdict == says[rule] if rule else r._verdict in ("allow", "block")
+    assert urls.judge(df.limit(0)).count() == 0
+    alone = urls.judge(df.where("url = 'http://x.net/en/9' OR url = 'http://x.net/es/9'")).collect()
+    assert {r._verdict for r in alone} == {"block"}
+
+
+def test_url_features_and_trees(spark):
+    url = "http://ab.example.net/x1/y2?a=1&b=22#f"
+    df = spark.createDataFrame([(url,)], "_url string")
+    host, path = urls.parts(F.col("_url"))
+    r = urls.lexical(df.withColumns({"_host": host, "_path": path})).first()
+    share = [url.count(c) / len(url) for c in set(url)]
+    assert math.isclose(r.entropy, -sum(p * math.log2(p) for p in share), abs_tol=1e-8)
+    assert (r.depth, r.labels, r.parameters, r.query_chars, r.has_fragment) == (2, 2, 2, 8, 1) and r.digit_ratio == 5 / len(url)
+    rng = random.Random(4)
+    rows = [(f"http://h{rng.randrange(50)}.net/es/{'9' * rng.randrange(8, 20)}",) for _ in range(200)]
+    rows += [(f"http://h{rng.randrange(50)}.com/about/us",) for _ in range(200)]
+    rows += [("http://h1.org/zz/99999999999999",), ("http://h1.org/about/us",)]
+    got = {r.url: r._verdict for r in urls.judge(spark.createDataFrame(rows, "url string")).collect()}
+    assert got["http://h1.org/zz/99999999999999"] == "block" and got["http://h1.org/about/us"] == "allow"
+
+
+def test_license_scan(spark, documents):
+    scanner = licenses.fit(documents.select("text"))
+    rows = [
+        (1, "Some words here.\nReleased under the MIT License.\nmore of it"), (2, None), (3, ""), (4, "\n\n"), (5, "Mit und."),
+        (6, "This work is licensed under the GNU General Public License, version 3."), (None, "All rights reserved."),
+        (7, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0."), (7, "Licensed under CC BY-NC 4.0."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("clash"))
+    got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(df, scanner).collect() if r.confirmed}
+    assert got == {(1, 1, "mit"), (6, 0, "gpl"), (None, 0, "all-rights-reserved"), (7, 1, "apache-2.0"), (7, 0, "cc-by-nc")}
+    assert licenses.scan(df.limit(0), scanner).count() == 0
+    # All planted statements are found, and nothing else is confirmed.
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    planted = lines.where(F.col("line").rlike("^(This work is licensed|Licensed under|Released under|All rights reserved)"))
+    found = licenses.scan(documents, scanner).where("confirmed")
+    assert planted.count() == found.count() == planted.join(found, ["doc_id", "paragraph"]).count() > 0
+
+
+def article(page):
+    """The marked content of a generated page, read plainly."""
+    import re
+
+    inner = page[page.index("<article>") + 9:page.index("</article>")]
+    return " ".join(entities.unescape(re.sub("</?b>", "", re.sub("</?(p|br|h1)>", " ", inner))).split())
+
+
+def test_main_text_of_all_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("inside", F.lit("clash"))
+    got = html.extract(pages).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert r._main_text == article(r.html) and r._n_chars == len(r._main_text), r.page_id
+
+
+def test_main_text_of_odd_pages(spark):
+    body = " ".join(f"word{i}" for i in range(40))
+    plain = "<html><body><nav><a href='/'>Home page</a></nav><div><h1>Title here</h1><p>{}</p></div><footer>Some foot</footer></body></html>"
+    cases = {
+        1: (None, ""), 2: ("", ""), 3: ("   ", ""), 4: (plain.format(body), f"Title here {body}"),
+        5: (f"<article><p>A&nbsp;b &lt;c&gt; &#233;<b>x</b>y</p><div class='advert'>buy {body}</div><p>{body}</p>"
+            f"<section id=comments><p>nice</p></section></article>", f"A b <c> éxy {body}"),
+        6: (f"<main><header>Head</header><script>if (a < b) {{ '</p>' }}</script><!-- no --><form>Your name</form><p title='a > b'>{body}</p></main>", None),
+        7: ("<p>" + "long " * 200_000 + "</p>", "long " * 199_999 + "long"),
+        8: ("<nav>Only a menu</nav><style>p{}</style>", ""), 9: ("<p>cut &am", "cut &am"), 10: (f"text {body} <unclosed", None),
+    }
+    train = spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "html")
+    odd = spark.createDataFrame([(-i, h) for i, (h, _) in cases.items()] * 2, "page_id long, html string")
+    got = html.extract(train.union(odd)).where("page_id < 0 OR page_id IS NULL").collect()
+    assert len(got) == 2 * len(cases)
+    for r in got:
+        expected = cases[-r.page_id][1]
+        if expected is not None:
+            assert r._main_text == expected, r.page_id
+    texts = {-r.page_id: r._main_text for r in got}
+    assert body in texts[6] and "Your name" not in texts[6] and "no" not in texts[6].split() and body in texts[10]
+    assert html.extract(odd.limit(0)).count() == 0
