@@ -74,7 +74,7 @@ def test_packing_repeated_and_null_ids(spark, plain):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab'S te<|>9 \n\t\u00a0é漢🙂́-_") + ["<|endoftext|>", "'ll", "  "]), max_size=60))
+@given(st.lists(st.sampled_from(list("ab'S te<|>9 \n\t\u00a0é漢🙂\u0301-_") + ["<|endoftext|>", "'ll", "  "]), max_size=60).map("".join))
 def test_encoder_equals_tokenizers(text):
     tokenizer = test_encoder_equals_tokenizers.__dict__.setdefault("t", Tokenizer.from_file(TOKENIZER))
     tokenizer.encode_special_tokens = True
@@ -87,7 +87,7 @@ def test_encoder_of_another_kind():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(*[st.text(alphabet=st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/s>", "a", " ", "\n", "é"]), max_size=8)] * 2), max_size=5))
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/s>", "a", " ", "\n", "é"]), max_size=8).map("".join)] * 2), max_size=5))
 def test_chat_round_trip(turns):
     made = "".join(chat.render(role, text) for role, text in turns)
     assert [x[:2] for x in chat.parse(made)] == turns
