@@ -6,7 +6,6 @@ from clinfeat.codes.values import EVIDENCE_PATTERN, FOLLOW_ON_GAP_DAYS, OUTCOME_
 from clinfeat.functions.time import days_between, days_exact
 from clinfeat.operators.ordered import running_sum_by_number
 
-LIST_PART = 10_000
 
 
 def full_join_on_stay(coded: DataFrame, lab: DataFrame, coalesce_ids: bool = False) -> DataFrame:
@@ -74,10 +73,12 @@ def stay_gaps(info: DataFrame) -> DataFrame:
 def session_members(info: DataFrame, gap: float = FOLLOW_ON_GAP_DAYS) -> DataFrame:
     """Every stay with the number of its session: a gap of ``gap`` days or more starts a new one.
 
-    Stays with the same start share a sequence number, and so a session.
+    So does an unknown gap, after a stay without an end. Stays with the same start share a sequence
+    number, and so a session.
     """
+    follows = (F.col("hospstay_seq") == 1) | (F.col("gap_days") < gap)
     steps = stay_gaps(info).groupBy("subj_id", "hospstay_seq").agg(
-        F.max(F.when(F.col("gap_days") >= gap, 1).otherwise(0)).alias("_new")
+        F.max(F.when(follows, 0).otherwise(1)).alias("_new")
     )
     numbered = running_sum_by_number(steps, "subj_id", "hospstay_seq", "_new", "session")
     return info.select(
@@ -105,26 +106,26 @@ def session_totals(members: DataFrame) -> DataFrame:
     )
 
 
-def multistay(members: DataFrame, part_size: int = LIST_PART) -> DataFrame:
-    """Sessions with more than one stay, with the ids and codes of their stays in order.
+def session_stays(members: DataFrame) -> DataFrame:
+    """The stays of sessions with more than one, a row each: the form for any size."""
+    totals = session_totals(members).select("subj_id", "session")
+    return members.select("subj_id", "session", "hospstay_seq", "start_ts", "enc_id", "code").join(
+        totals, ["subj_id", "session"]
+    )
+
 
-    A row lists the stays of ``part_size`` sequence numbers; a longer session goes on in rows with
-    the next ``part``, so no list grows without bound. The totals repeat in every part.
+def multistay(members: DataFrame) -> DataFrame:
+    """Sessions with more than one stay, a row each, with the ids and codes of their stays in order.
+
+    An export of ``session_totals`` and ``session_stays``: a list is as long as its session.
     """
-    totals = session_totals(members)
+    keys = ["subj_id", "session"]
     stay = F.struct("hospstay_seq", "start_ts", "enc_id", "code")
-    listed = (
-        members.select("subj_id", "session", "hospstay_seq", "start_ts", "enc_id", "code")
-        .join(totals, ["subj_id", "session"])
-        .withColumn("part", F.floor((F.col("hospstay_seq") - F.col("first_seq")) / part_size))
-        .repartition("subj_id", "session", "part")
-        .groupBy("subj_id", "session", "part", "first_enc_id", "num_stays", "cumulative_los",
-                 "first_admit", "last_disch")
-        .agg(F.sort_array(F.collect_list(stay)).alias("_stays"))
-    )
+    lists = session_stays(members).groupBy(*keys).agg(F.sort_array(F.collect_list(stay)).alias("_stays"))
+    listed = session_totals(members).join(lists, keys)
     enc_ids = F.transform("_stays", lambda s: s["enc_id"])
     return listed.select(
-        "subj_id", "session", "part", "first_enc_id",
+        "subj_id", "session", "first_enc_id",
         enc_ids.alias("combined_enc_id"),
         F.filter(enc_ids, lambda e: e != F.col("first_enc_id")).alias("other_enc_id"),
         F.transform("_stays", lambda s: s["code"]).alias("codes"),

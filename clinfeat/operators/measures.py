@@ -78,9 +78,11 @@ def first_rows(events: DataFrame, category: str) -> DataFrame:
 
     One scan. ``rank = 1`` lets Spark drop later rows before the shuffle (WindowGroupLimit), so a
     stay with very many events reaches the final task as its earliest rows per input partition.
+    Events without a time come last, and give no value where nothing else is there.
     """
-    w = W.partitionBy(*STAY, category).orderBy("ts")
-    return events.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1).drop("_r")
+    w = W.partitionBy(*STAY, category).orderBy(F.col("ts").asc_nulls_last())
+    first = events.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1).drop("_r")
+    return first.withColumn("value", F.when(F.col("ts").isNotNull(), F.col("value")))
 
 
 def wide(rows: DataFrame, number: str, names: list[str], aggs: dict) -> DataFrame:
@@ -158,7 +160,7 @@ def vitals_window(events: DataFrame, stays: DataFrame, items=VITAL_ITEMS, before
 
 def first_unit_value(events: DataFrame, items, out: str) -> DataFrame:
     """First converted value per stay, two decimals; ties on time go to the smallest
-    converted value, then to the lowest item.
+    converted value, then to the lowest item. Values without a time count for nothing.
 
     ``row_number = 1`` also prunes before the shuffle.
     """
@@ -166,6 +168,7 @@ def first_unit_value(events: DataFrame, items, out: str) -> DataFrame:
         F.col("item_id").isin([i.item_id for i in items])
         & F.col("value").isNotNull()
         & (F.col("value") != 0)
+        & F.col("ts").isNotNull()
         & not_marked(F.col("error"))
     ).select(*STAY, "item_id", "ts", "value")
     w = W.partitionBy(*STAY).orderBy("ts", "value", "item_id")

@@ -55,8 +55,8 @@ def treated_stays(stays: DataFrame, scoped: DataFrame) -> DataFrame:
 
 
 def first_prescription(scoped: DataFrame) -> DataFrame:
-    """Earliest drug per stay; ties go to the first drug in text order."""
-    w = W.partitionBy(*STAY).orderBy("startdate", "drug")
+    """Earliest drug per stay; ties go to the first drug in text order, missing dates and names come last."""
+    w = W.partitionBy(*STAY).orderBy(F.col("startdate").asc_nulls_last(), F.col("drug").asc_nulls_last())
     return (
         scoped.select(*STAY, "startdate", "drug")
         .withColumn("_n", F.row_number().over(w))

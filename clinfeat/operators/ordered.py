@@ -15,6 +15,18 @@ FAN_OUT = (8, 8, 16)
 SLICES = FAN_OUT[0] * FAN_OUT[1] * FAN_OUT[2]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by equal keys, NULL being equal to NULL."""
+    renamed = right.select(
+        *[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)],
+        *[F.col(f"`{c}`") for c in right.columns if c not in keys],
+    )
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}"))
+    return left.join(renamed, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def _before(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Sum of each named total over the earlier slices of the group."""
     w = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -25,19 +37,19 @@ def _before(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def dense_rank_by_time(df: DataFrame, key: str, ts: str, out: str) -> DataFrame:
-    """``dense_rank`` of ``ts`` within ``key``; slices are calendar months.
+    """``dense_rank`` of ``ts`` within ``key``, missing times last; slices are calendar months.
 
     The offsets need one row per key and month, which is less than the data for a key with many
     rows and about the same for a key with few.
     """
-    sliced = df.withColumn("_slice", F.year(ts) * 12 + F.month(ts))
+    sliced = df.withColumn("_slice", F.coalesce(F.year(ts) * 12 + F.month(ts), F.lit(2**31 - 1)))
     totals = sliced.select(key, "_slice", ts).distinct().groupBy(key, "_slice").agg(
         F.count("*").alias("n")
     )
     w = W.partitionBy(key, "_slice").orderBy(ts)
     local = sliced.repartition(key, "_slice").withColumn("_local", F.dense_rank().over(w))
     return (
-        local.join(_before(totals, [key], ["n"]), [key, "_slice"])
+        null_safe_join(local, _before(totals, [key], ["n"]), [key, "_slice"])
         .withColumn(out, (F.col("_local") + F.col("_before_n")).cast("int"))
         .drop("_slice", "_local", "_before_n")
     )
@@ -52,7 +64,7 @@ def running_sum_by_number(
     w = W.partitionBy(key, "_slice").orderBy(number).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.repartition(key, "_slice").withColumn("_local", F.sum(value).over(w))
     return (
-        local.join(_before(totals, [key], ["n"]), [key, "_slice"])
+        null_safe_join(local, _before(totals, [key], ["n"]), [key, "_slice"])
         .withColumn(out, F.col("_local") + F.col("_before_n"))
         .drop("_slice", "_local", "_before_n")
     )
@@ -118,23 +130,20 @@ def _slice_of(value: Column, levels: str) -> Column:
     )
 
 
-def with_value_slices(df: DataFrame, by: list[str], value: str, max_groups: int | None = None) -> DataFrame:
+def with_value_slices(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Add ``_slice``: about equally filled slices of ``value`` within each ``by`` group.
 
     Cut values are approximate quantiles of the data; they only decide where a slice ends, so the
-    results built on them stay exact. A group's cuts take about 10 KB; they are broadcast when the
-    caller knows that there are at most ``max_groups`` <= 1000 groups. Otherwise a merge join, in
-    which Spark may split a large group, since a shuffle by slice follows.
+    results built on them stay exact. A group's cuts take about 10 KB; Spark chooses the join by their
+    size, and may split a large group, since a shuffle by slice follows.
     """
     probs = F.expr("array(" + ", ".join(f"{i / SLICES}D" for i in range(1, SLICES)) + ")")
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(10 * SLICES)).alias("_cuts"))
     levels = cuts.select(*by, _levels(F.col("_cuts")).alias("_levels"))
     if not by:
         placed = df.withColumn("_levels", levels.scalar())
-    elif max_groups is not None and max_groups <= 1000:
-        placed = df.join(F.broadcast(levels), by)
     else:
-        placed = df.join(levels.hint("merge"), by)
+        placed = null_safe_join(df, levels, by)
     return placed.withColumn("_slice", _slice_of(F.col(value), "_levels")).drop("_levels")
 
 
@@ -150,14 +159,13 @@ def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str]) ->
     local = sliced.repartition(*keys).select(
         *df.columns, "_slice", *[F.sum(s).over(w).alias(f"_local_{s}") for s in sums]
     )
-    return local.join(_before(totals, by, sums), keys).select(
+    return null_safe_join(local, _before(totals, by, sums), keys).select(
         *df.columns,
         *[(F.col(f"_local_{s}") + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums],
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    max_groups: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear between the two nearest values) of ``value`` per ``by`` group.
 
     Rows are first counted per distinct value. Only the slices that hold a wanted rank are then
@@ -168,7 +176,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         .groupBy(*by, value)
         .agg(F.count("*").alias("n"))
     )
-    sliced = with_value_slices(counted, by, value, max_groups)
+    sliced = with_value_slices(counted, by, value)
     keys = [*by, "_slice"]
     totals = sliced.groupBy(*keys).agg(F.sum("n").alias("n"))
     per_group = W.partitionBy(*by)
@@ -195,7 +203,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     )
     w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     found = (
-        sliced.join(per_slice, keys)
+        null_safe_join(sliced, per_slice, keys)
         .withColumn("_hi", F.sum("n").over(w) + F.col("_before"))
         .withColumn("_r", F.explode("_ranks"))
         .filter((F.col("_r._rank") <= F.col("_hi")) & (F.col("_r._rank") > F.col("_hi") - F.col("n")))

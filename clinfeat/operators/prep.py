@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES, FOLDED_GROUPS, MODEL_FEATURES, SEED
 from clinfeat.functions.numbers import capped_sum, combined_label, non_null_count
@@ -39,7 +39,8 @@ def with_death_classes(dataset: DataFrame) -> DataFrame:
 
 
 def undersample(df: DataFrame, label: str, id_col: str, seed: int = SEED) -> DataFrame:
-    """Every class cut to the size of the smallest, by hash order of the id."""
+    """Every class cut to the size of the smallest, by hash order of the id. Rows without a label are left out."""
+    df = df.filter(F.col(label).isNotNull())
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
     quota = sizes.select(label, sizes.agg(F.min("n")).scalar().alias("quota"))
     return first_by_hash(df, label, id_col, seed, quota).filter("_first").drop("_first")
@@ -50,8 +51,9 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = SEED) -> Data
     in hash order once more. Copies are numbered in ``copy``.
 
     Copies are made in two steps, so a single row may have more copies than an array can hold, and
-    they are spread over tasks in between.
+    they are spread over tasks in between. Rows without a label are left out.
     """
+    df = df.filter(F.col(label).isNotNull())
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).scalar()
     quota = sizes.select(label, (largest % F.col("n")).alias("quota"))
@@ -77,21 +79,25 @@ def balance(df: DataFrame, label: str = "outcome", id_col: str = "enc_id", seed:
 
 def stratified_split(df: DataFrame, label: str = "outcome", id_col: str = "enc_id",
                      test_size: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Add ``is_test``: an exact share of each class, by hash order of the id."""
+    """Add ``is_test``: an exact share of each class, by hash order of the id. Rows without a label are left out."""
+    df = df.filter(F.col(label).isNotNull())
     quota = df.groupBy(label).agg(F.round(F.count("*") * test_size).cast("long").alias("quota"))
     return first_by_hash(df, label, id_col, seed, quota).withColumnRenamed("_first", "is_test")
 
 
+def known(column: str) -> Column:
+    """The number, NULL where it is missing; NaN is missing too."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians, one job for all columns; one number per column comes back."""
-    found = exact_quantiles(unpivot(df, columns), ["feature"], "value", {"median": 0.5}, len(columns))
+    found = exact_quantiles(unpivot(df.withColumns({c: known(c) for c in columns}), columns), ["feature"], "value", {"median": 0.5})
     return {r["feature"]: r["median"] for r in found.collect()}
 
 
 def impute_constants(df: DataFrame, values: dict[str, float]) -> DataFrame:
-    return df.withColumns({
-        c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(v)) for c, v in values.items()
-    })
+    return df.withColumns({c: F.coalesce(known(c), F.lit(v)) for c, v in values.items()})
 
 
 def impute_median(df: DataFrame, columns: list[str], fitted_on: DataFrame | None = None) -> DataFrame:
@@ -111,7 +117,7 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
     """One aggregation. A column is binary when both 0 and 1 occur and nothing else does."""
     aggs = []
     for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
+        v = known(c)
         aggs += [
             F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"),
             F.max((v == 0).cast("int")).alias(f"z{i}"), F.max((v == 1).cast("int")).alias(f"o{i}"),

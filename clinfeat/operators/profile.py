@@ -6,7 +6,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinfeat.functions.numbers import histogram_bin, non_null_count
-from clinfeat.operators.ordered import exact_quantiles, hash_order
+from clinfeat.operators.ordered import exact_quantiles, hash_order, null_safe_join
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -35,19 +35,15 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1)))
 
 
-def summary_by(df: DataFrame, by: list[str], value: str, max_groups: int | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per group.
-
-    ``max_groups``: the highest possible number of groups, when known (flags, class labels).
-    """
+def summary_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per group; NULL is a group too."""
     v = F.col(value).cast("double")
     rows = df.select(*by, v.alias("_v"))
     basic = rows.groupBy(*by).agg(
         F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
         F.min("_v").alias("min"), F.max("_v").alias("max"),
     )
-    quartiles = exact_quantiles(rows, by, "_v", QUARTILES, max_groups)
-    return basic.join(quartiles, by, "left")
+    return null_safe_join(basic, exact_quantiles(rows, by, "_v", QUARTILES), by, "left")
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -58,7 +54,7 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFram
 
 def frame_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """``summary_by`` of every column, in one pass over their long form."""
-    return summary_by(unpivot(df, columns), ["feature"], "value", len(columns))
+    return summary_by(unpivot(df, columns), ["feature"], "value")
 
 
 def filled_columns(df: DataFrame, columns: list[str]) -> DataFrame:

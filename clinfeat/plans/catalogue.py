@@ -10,7 +10,7 @@ from clinfeat.operators import cohort, encounters, features, measures, meds, pre
 from clinfeat.plans import dataset as plans
 from clinfeat.sources import files, stages
 from clinfeat.sources.retail import (
-    Retail, TEST_HEIGHTS, TEST_LABS, TEST_PATTERN, TEST_SPELLINGS, TEST_UNNAMED, TEST_VITALS,
+    Retail, TEST_DICTIONARY, TEST_HEIGHTS, TEST_LABS, TEST_PATTERN, TEST_SPELLINGS, TEST_UNNAMED, TEST_VITALS,
     TEST_WEIGHTS,
 )
 
@@ -295,7 +295,7 @@ def event_dictionary_join(r):
 def from_items(r):
     import pyarrow as pa
 
-    rows = [(i.item_id, i.label) for i in TEST_LABS[:-1]]
+    rows = [(i.item_id, i.label) for i in TEST_DICTIONARY]
     return from_rows(r.spark, ["item_id", "label"], rows, [pa.int32(), pa.string()])
 
 
@@ -468,7 +468,7 @@ def event_types_to_date(r):
     """Different event types of a user up to each day."""
     events = r.table("events").select(
         F.col("user_id").alias("subj_id"), F.col("user_id").alias("enc_id"),
-        F.dayofmonth("ts").alias("day_prescribed"), "event_type",
+        F.to_date("ts").alias("day_prescribed"), "event_type",
     )
     return meds.cumulative_distinct(events, "event_type", "n_types").select("enc_id", "day_prescribed", "n_types")
 
@@ -605,7 +605,7 @@ def crosstab_sparse(r):
 @query
 def grouped_describe(r):
     stays = staged_info(r).withColumn("coded", r.code_is.cast("int"))
-    out = profile.summary_by(stays, ["coded", "expire"], "los_hospital", max_groups=9)  # flags or NULL
+    out = profile.summary_by(stays, ["coded", "expire"], "los_hospital")
     return rounded(out, ["mean", "std", "q25", "q50", "q75"])
 
 
@@ -642,7 +642,7 @@ def correlation_matrix(r):
 def correlation_ends(r):
     wide = labs(r).join(r.enc.select("enc_id", "expire"), "enc_id")
     known = profile.correlations(wide, "expire", measures.lab_labels(TEST_LABS))
-    return rounded(profile.top_and_bottom(known, 2), ["corr"])
+    return rounded(profile.top_and_bottom(known, 3), ["corr"])
 
 
 @query

@@ -12,7 +12,7 @@ from clinfeat.codes.values import (
 from clinfeat.operators.measures import lab_labels, vital_names
 from clinfeat.plans.catalogue import TEST_FEATURES, TEST_NUMERIC, WEEKDAYS
 from clinfeat.sources.retail import (
-    DUCKDB, TEST_CODE_PREFIX, TEST_HEIGHTS, TEST_LABS, TEST_PATTERN, TEST_SPELLINGS, TEST_UNNAMED,
+    DUCKDB, TEST_CODE_PREFIX, TEST_DICTIONARY, TEST_HEIGHTS, TEST_LABS, TEST_PATTERN, TEST_SPELLINGS, TEST_UNNAMED,
     TEST_VITALS, TEST_WEIGHTS, Retail, view_texts,
 )
 
@@ -199,7 +199,7 @@ VIEWS |= {
           FROM (SELECT subj_id, hospstay_seq, max(gap_days) AS gap FROM gaps GROUP BY ALL)) s
         ON s.subj_id = i.subj_id AND s.hospstay_seq = i.hospstay_seq"""),
     "sessions": (["members"], """
-        SELECT subj_id, session, 0 AS part, arg_min(enc_id, (hospstay_seq, enc_id)) AS first_enc_id,
+        SELECT subj_id, session, arg_min(enc_id, (hospstay_seq, enc_id)) AS first_enc_id,
           list(enc_id ORDER BY hospstay_seq, start_ts, enc_id) AS ids,
           list(code ORDER BY hospstay_seq, start_ts, enc_id) AS code_list,
           count(*) AS num_stays, round(sum(los_hospital), 4) AS cumulative_los,
@@ -339,7 +339,7 @@ oracle("age_bins", f"""
 oracle("year_age_by_month", f"""
     SELECT extract(month FROM o_orderdate) AS birth_month, {r('avg(a)', 'avg_age')}, min(a) AS min_age, max(a) AS max_age
     FROM (SELECT *, 2026 - extract(year FROM o_orderdate) AS a FROM orders) GROUP BY 1""")
-ITEMS = values([(i.item_id, i.label) for i in TEST_LABS[:-1]], ["item_id", "label"])
+ITEMS = values([(i.item_id, i.label) for i in TEST_DICTIONARY], ["item_id", "label"])
 NAMED_EVENTS = f"""
     SELECT m.item_id, e.enc_id, e.subj_id, e.start_ts, e.expire, m.ts, m.value, label
     FROM enc e LEFT JOIN meas m ON m.enc_id = e.enc_id LEFT JOIN ({ITEMS}) d ON d.item_id = m.item_id"""
@@ -420,8 +420,8 @@ oracle("drug_burden", """
        "classified", "enc")
 oracle("event_types_to_date", """
     SELECT a.user_id AS enc_id, a.d AS day_prescribed, count(DISTINCT b.event_type) AS n_types
-    FROM (SELECT DISTINCT user_id, extract(day FROM ts) AS d FROM events) a
-    JOIN events b ON b.user_id = a.user_id AND extract(day FROM b.ts) <= a.d GROUP BY ALL""")
+    FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) a
+    JOIN events b ON b.user_id = a.user_id AND CAST(b.ts AS DATE) <= a.d GROUP BY ALL""")
 
 # Outcome, sessions, cohort
 oracle("evidence_full_right", "SELECT * FROM evidence", "evidence")
@@ -438,7 +438,7 @@ oracle("stay_gaps", f"""
     SELECT subj_id, enc_id, hospstay_seq, start_ts, end_ts, {r('gap_days', 'gap_days', 8)} FROM gaps""", "gaps")
 oracle("session_members", "SELECT subj_id, enc_id, hospstay_seq, session FROM members", "members")
 oracle("multistay", f"""
-    SELECT subj_id, session, part, first_enc_id, {SESSION_LISTS}, num_stays, cumulative_los, first_admit, last_disch
+    SELECT subj_id, session, first_enc_id, {SESSION_LISTS}, num_stays, cumulative_los, first_admit, last_disch
     FROM sessions""", "sessions")
 VIEWS["merged_all"] = (["outcomes", "sessions"], merged("outcomes"))
 oracle("merge_close_stays", "SELECT * FROM merged_all", "merged_all")
@@ -513,8 +513,8 @@ oracle("correlation_matrix", " UNION ALL ".join(
     "first_labs")
 oracle("correlation_ends", f"""
     WITH c AS ({ORACLES['correlations']})
-    SELECT * FROM (SELECT feature, corr, 'top' AS "end" FROM c ORDER BY corr DESC, feature LIMIT 2)
-    UNION ALL SELECT * FROM (SELECT feature, corr, 'bottom' FROM c ORDER BY corr, feature LIMIT 2)""")
+    SELECT * FROM (SELECT feature, corr, 'top' AS "end" FROM c ORDER BY corr DESC, feature LIMIT 3)
+    UNION ALL SELECT * FROM (SELECT feature, corr, 'bottom' FROM c ORDER BY corr, feature LIMIT 3)""")
 
 
 def normal_rows():

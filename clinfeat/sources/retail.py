@@ -16,6 +16,11 @@ TEST_LABS = [
     LabItem(4, "GLUCOSE", 49.0), LabItem(5, "LACTATE", 30.0), LabItem(6, "SODIUM", 50.0),
     LabItem(7, "WBC", 46.0),
 ]
+# The dictionary of item names; item 7 has none.
+TEST_DICTIONARY = [
+    LabItem(1, "ALBUMIN", 45.0), LabItem(2, "BUN", 40.0), LabItem(3, "BUN", 48.0),
+    LabItem(4, "GLUCOSE", 49.0), LabItem(5, "LACTATE", 30.0), LabItem(6, "SODIUM", 50.0),
+]
 TEST_VITALS = [
     VitalItem(1, "heartrate", 0.0, 40.0), VitalItem(2, "heartrate", 0.0, 45.0),
     VitalItem(3, "sysbp", 0.0, 48.0), VitalItem(4, "tempc", 5.0, 48.0, fahrenheit=True),

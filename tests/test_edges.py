@@ -147,11 +147,11 @@ def test_gaps_join_below_91_days(spark):
     assert rolled[0]["codes"] == ["c0", "c1"] and rolled[0]["cumulative_los"] == Decimal("2.0000")
 
 
-def test_long_sessions_continue_in_parts(spark):
+def test_long_sessions_are_one_row(spark):
     members = cohort.session_members(sessions_of(spark, [1] * 6))
-    parts = sorted(cohort.multistay(members, part_size=3).collect(), key=lambda r: r["part"])
-    assert [r["combined_enc_id"] for r in parts] == [[100, 101, 102], [103, 104, 105], [106]]
-    assert {r["num_stays"] for r in parts} == {7}
+    row, = cohort.multistay(members).collect()
+    assert row["combined_enc_id"] == list(range(100, 107)) and row["num_stays"] == 7
+    assert cohort.session_stays(members).count() == 7
 
 
 def test_stays_with_the_same_start_share_sequence_and_session(spark):
