@@ -1,29 +1,21 @@
 """Stage outputs: written tables, views, saved models, and the shared folder they live in."""
 
-import tempfile
 import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 
-LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, else its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
-    Only a local session without that setting gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    app = spark.sparkContext.applicationId
-    if app not in LOCAL_FOLDERS:
-        LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="clinfeat-")
-    return LOCAL_FOLDERS[app]
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a written stage when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -31,9 +23,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage and read it back: the lineage ends here and a lost executor costs no rerun."""
+    """Write a stage and read it back: the lineage ends here and a lost executor costs no rerun.
+
+    The stage is removed when the session ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

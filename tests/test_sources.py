@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+import time
 from datetime import datetime
 
 import pytest
@@ -52,20 +56,22 @@ def test_materialize_cuts_the_lineage(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     given = spark.conf.get("spark.checkpoint.dir", None)
-    folder = stages.shared_folder(spark)
-    assert folder == (given.rstrip("/") if given else stages.LOCAL_FOLDERS[spark.sparkContext.applicationId])
-    assert folder == stages.shared_folder(spark)
-
-
-class FakeSession:
-    """A session without the setting, on a given master."""
-
-    def __init__(self, master):
-        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
-        self.conf = type("F", (), {"get": staticmethod(lambda key, default: default)})()
-
-
-def test_a_cluster_needs_the_setting():
-    with pytest.raises(ValueError):
-        stages.shared_folder(FakeSession("spark://host:7077"))
-    assert stages.shared_folder(FakeSession("local[2]"))
+    assert stages.shared_folder(spark) == (given or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def test_stages_end_with_the_session(tmp_path):
+    """Run in a session of its own: nothing is left behind."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from clinfeat.sources import stages\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+        "assert stages.materialize(s.range(3), 'x').count() == 3\n"
+        f"import os; assert os.listdir('{tmp_path}/clinfeat')\n"
+        "s.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
+    for _ in range(50):
+        if not os.path.exists(tmp_path / "clinfeat") or not os.listdir(tmp_path / "clinfeat"):
+            break
+        time.sleep(0.2)
+    assert not os.path.exists(tmp_path / "clinfeat") or os.listdir(tmp_path / "clinfeat") == []
