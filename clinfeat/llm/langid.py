@@ -197,7 +197,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Field:
     chosen = usable.where(chance < share[F.col("lang")]).select("doc_id", "text", "lang")
     labels = field.labels
     made = (
-        chosen.coalesce(1).sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "lang")
+        chosen.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "lang")
         .mapInArrow(lambda batches: _train(batches, labels), "table binary, transition binary, first binary").first()
     )
     n = len(labels)

@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_URLS):
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     rows = assembler.transform(_with_statistics(chosen, tables)).select("_features", F.col("_label").cast("double").alias("_label"))
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, seed=1)
-    model = trees.fit(rows.coalesce(2).persist())
+    model = trees.fit(rows.repartition(2).persist())
     return model, tables
 
 
