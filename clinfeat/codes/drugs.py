@@ -63,6 +63,7 @@ DRUG_CLASSES = [
     ("Penicillin", "Penicillin NS", "Narrow", "Penicillin NS", "Moderate"),
     ("Piperacillin", "Penicillin BS", "Broad", "Penicillin BS", "Moderate"),
     ("Piperacillin-Tazobactam", "Penicillin BS", "Broad", "Penicillin BS", "Moderate"),
+    ("Polymyxin B", "Polypeptide", "Narrow", "Polypeptide", "Unknown"),
     ("Posaconazole", "Triazole", "Antifungal", "Antifungal", "Unknown"),
     ("Pyrazinamide", "Pyrazinamide", "Narrow", "TB-specific", "Unknown"),
     ("Quinupristin-Dalfopristin", "Streptogramin", "Narrow", "Other", "None"),

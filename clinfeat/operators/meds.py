@@ -66,10 +66,10 @@ def first_prescription(scoped: DataFrame) -> DataFrame:
 
 
 def names_per_day(classified: DataFrame) -> DataFrame:
-    """All drug names of a stay and day, sorted. Rows are distinct per start date and name, so a
+    """All drug names of a stay and day, sorted, missing ones last. Rows are distinct per start date and name, so a
     list is no longer than the drug dictionary."""
     return classified.groupBy(*STAY, "day_prescribed").agg(
-        F.array_sort(F.collect_list("drug_name")).alias("drug_names")
+        F.array_sort(F.transform(F.collect_list(F.struct("drug_name")), lambda x: x["drug_name"])).alias("drug_names")
     )
 
 

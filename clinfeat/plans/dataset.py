@@ -103,11 +103,11 @@ class Prepared:
 
 def prepare(dataset: DataFrame, columns=MODEL_FEATURES, drugs: DataFrame | None = None,
             only_drugs: bool = False, four_classes: bool = False, under: bool = True,
-            strategy: str = "nearest", seed: int = SEED) -> Prepared:
+            strategy: str = "median", seed: int = SEED) -> Prepared:
     """Select, balance, join drug flags, split, scale and impute.
 
     Scaling comes before imputation and the id is not a feature, so no single column rules the
-    distance; both are fitted on the training rows only. ``strategy`` is "nearest" or "median".
+    distance; both are fitted on the training rows only. ``strategy`` is "median" or "nearest".
     """
     if strategy not in ("nearest", "median"):
         raise ValueError(f"unknown strategy {strategy!r}")
