@@ -157,6 +157,24 @@ def test_linked_vectors_repeated_null_and_empty(spark):
     assert vectors.linked(df.limit(0)).count() == 0
 
 
+def test_no_group_of_vectors_holds_a_hot_cluster(spark, monkeypatch):
+    """A third of the vectors are close together, and every one of their links counts."""
+    found = vectors._found
+
+    def bounded(group, threshold):
+        assert group.num_rows <= 400
+        return found(group, threshold)
+
+    monkeypatch.setattr(vectors, "_found", bounded)
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vectors, "CLUSTER_ROWS", 50)
+    rng = np.random.default_rng(8)
+    centre, noise = rng.normal(size=32), rng.normal(size=(800, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate([*noise, *(centre + 0.05 * rng.normal(size=(400, 32)))])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.links(rows, 0.9)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     assert difference(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name]) == ""
