@@ -175,6 +175,18 @@ def test_no_group_of_vectors_holds_a_hot_cluster(spark, monkeypatch):
     assert got == brute.links(rows, 0.9)
 
 
+def test_pairs_at_the_threshold_are_linked_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CLUSTER_ROWS", 20)
+    rng = np.random.default_rng(9)
+    one, other = rng.normal(size=(2, 1500, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(1, keepdims=True) * one
+    pair = 0.905 * one + (1 - 0.905 ** 2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    rows = [(2 * i + j, v.tolist()) for i, two in enumerate(zip(one, pair)) for j, v in enumerate(two)]
+    got = {r.vec_id: r.n_links for r in vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(1500)) and sum(got.values()) >= 0.998 * 3000
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     assert difference(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name]) == ""
