@@ -121,12 +121,12 @@ def fit_logistic(r):
 
 @query
 def fit_forest(r):
-    return fitted(r, "forest", numTrees=50)
+    return fitted(r, "forest")
 
 
 @query
 def fit_svm(r):
-    return fitted(r, "svm", maxIter=50)
+    return fitted(r, "svm")
 
 
 @query
@@ -137,28 +137,30 @@ def fit_tree_regressor(r):
 @query
 def fit_gbt(r):
     p = prepared(r)
-    model = models.fit_boosted(p.train, p.features, maxIter=10, maxDepth=3)
+    model = models.fit_boosted(p.train, p.features)
     return models.score(model, p.test).select("enc_id", "outcome", "prediction", "score")
 
 
 @query
 def cv_regularisation(r):
+    """Ten inverse strengths from 1e-4 to 1e4; MLlib's penalty is one over strength times rows."""
     p = prepared(r)
-    return models.cross_validate(p.train, p.features, "logistic", {"regParam": [0.001, 0.1, 1.0]}, folds=3,
-                                 fixed={"maxIter": 50})[1]
+    n = p.train.count()
+    grid = {"regParam": [1 / (n * 10 ** (-4 + 8 * i / 9)) for i in range(10)]}
+    return models.cross_validate(p.train, p.features, "logistic", grid, folds=3, fixed={"maxIter": 200})[1]
 
 
 @query
 def grid_search(r):
     p = prepared(r)
-    grid = {"maxDepth": [4, 10], "minInstancesPerNode": [1, 10]}
-    return models.cross_validate(p.train, p.features, "forest", grid, folds=3, fixed={"numTrees": 10})[1]
+    grid = {"maxDepth": [4, 10, 20], "minInstancesPerNode": [1, 3, 10]}
+    return models.cross_validate(p.train, p.features, "forest", grid, folds=5, fixed={"numTrees": 250})[1]
 
 
 @query
 def feature_elimination(r):
     p = prepared(r)
-    eliminated = models.eliminate_features(p.train, p.features[:6], folds=3)
+    eliminated = models.eliminate_features(p.train, p.features, folds=3)
     return models.feature_ranking(eliminated)
 
 
@@ -172,20 +174,20 @@ def out_of_fold_fit(r):
 @query
 def learning_curve(r):
     p = prepared(r)
-    return evaluate.learning_curve(p.train, p.features, "logistic", shares=(0.5, 1.0), folds=3, maxIter=20)
+    return evaluate.learning_curve(p.train, p.features, "logistic")
 
 
 @query
 def fold_rmse(r):
     p = prepared(r)
-    return evaluate.fold_rmse(p.train, p.features, "tree", folds=5)
+    return evaluate.fold_rmse(p.train, p.features, "tree", folds=10)
 
 
 @query
 def importance(r):
     p = prepared(r)
     logistic = models.fit(p.train, p.features, "logistic")
-    forest = models.fit(p.train, p.features, "forest", numTrees=20)
+    forest = models.fit(p.train, p.features, "forest")
     by_coefficient = models.coefficient_importance(logistic, p.train, p.features).select(
         "feature", "importance", F.lit("coefficient").alias("kind"), F.lit(None).cast("double").alias("std")
     )
@@ -199,7 +201,7 @@ def importance(r):
 def recalibration(r):
     p = prepared(r)
     held_out, rest = p.train.filter(models.fold("enc_id", 4) == 0), p.train.filter(models.fold("enc_id", 4) != 0)
-    forest = models.fit(rest, p.features, "forest", numTrees=20)
+    forest = models.fit(rest, p.features, "forest")
     sigmoid = evaluate.recalibrate(models.score(forest, held_out))
     scored = evaluate.calibrated(sigmoid, models.score(forest, p.test))
     return scored.select("enc_id", "outcome", "score", "calibrated")

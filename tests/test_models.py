@@ -1,11 +1,15 @@
 """Fits, scores and evaluation on a small separable sample."""
 
 import random
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
 
 from clinfeat.learning import evaluate, models
+from clinfeat.plans import model_queries
+from clinfeat.plans.catalogue import QUERIES
 from clinfeat.plans.dataset import prepare
 from clinfeat.sources import stages
 
@@ -155,3 +159,38 @@ def test_boosted_grid_by_recall(rows):
     _, table = models.cross_validate(rows, FEATURES, "boosted", {"maxDepth": [2], "minInstancesPerNode": [1, 5]},
                                      metric="recallByLabel", folds=2, fixed={"maxIter": 3})
     assert table.count() == 2 and 0 <= table.first()["mean_score"] <= 1
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name,owner,function,expected", [
+    ("feature_elimination", models, "eliminate_features", {"folds": 3}),
+    ("grid_search", models, "cross_validate", {"folds": 5, "fixed": {"numTrees": 250}}),
+    ("cv_regularisation", models, "cross_validate", {"folds": 3, "fixed": {"maxIter": 200}}),
+    ("learning_curve", evaluate, "learning_curve", {}),
+    ("fold_rmse", evaluate, "fold_rmse", {"folds": 10}),
+    ("fit_gbt", models, "fit_boosted", {}),
+    ("fit_forest", models, "fit", {}),
+    ("fit_svm", models, "fit", {}),
+    ("importance", models, "fit", {}),
+    ("recalibration", models, "fit", {}),
+])
+def test_queries_fit_all_features_with_the_scripts_settings(spark, monkeypatch, name, owner, function, expected):
+    features = [f"f{i}" for i in range(20)]
+    train = MagicMock()
+    train.count.return_value = 240
+
+    def called(df, columns, *args, **params):
+        if "logistic" not in args or function != "fit":
+            raise Called(columns, args, params)
+
+    monkeypatch.setattr(model_queries, "prepared", lambda r: SimpleNamespace(train=train, test=train, features=features))
+    monkeypatch.setattr(owner, function, called)
+    with pytest.raises(Called) as error:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    columns, args, params = error.value.args
+    assert columns == features and params == expected
+    if function == "cross_validate":
+        assert [len(x) for x in args[1].values()] == ([3, 3] if name == "grid_search" else [10])
