@@ -2,7 +2,7 @@
 
 The trees learn from labelled URLs: those that a rule decides, or any table with a label. Features are numbers taken from the
 text by SQL functions: lengths, path depth, share of digits, entropy of the characters, counts of parameters and marks, and for
-the host's last label and last two labels how often the labelled URLs with it are blocked.
+the host's last label and last two labels how often the labelled URLs with it, all of them, are blocked.
 """
 
 import string
@@ -12,7 +12,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_URLS = 20_000  # expected number of labelled URLs to learn from
+from clinfeat.llm.shared import cut
+
+SAMPLE_URLS = 20_000  # expected number of labelled URLs that the trees are fitted on
 TREES, DEPTH = 20, 4
 
 #: Rule (host and path) and what it says.
@@ -78,17 +80,23 @@ def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
 def fit(labelled: DataFrame, sample: int = SAMPLE_URLS):
     """(model, statistics) from rows with _url, _host, _path and _label 0 or 1; or (None, the only label), (None, 0) without rows.
 
-    About ``sample`` rows are chosen by a hash of the URL.
+    The statistics count all rows. The trees are fitted on about ``sample`` rows, chosen by a hash of the URL and, where there is
+    one, ``_id``.
     """
-    total = labelled.count()
-    chance = F.pmod(F.xxhash64("_url", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counted = cut(
+        labelled.groupBy(F.substring_index("_host", ".", -2).alias("_domain"))
+        .agg(F.sum("_label").alias("blocked"), F.count("*").alias("n")).withColumn("_suffix", F.substring_index("_domain", ".", -1))
+    )
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    key = [c for c in ("_id", "_url") if c in labelled.columns]
+    chance = F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = lexical(labelled.where(chance < min(1.0, sample / max(1, total)))).persist()
     kinds = sorted(r["_label"] for r in chosen.select("_label").distinct().collect())  # two at most
     if len(kinds) < 2:
         return None, (kinds or [0])[0]
     tables = {
-        name: chosen.groupBy(f"_{name}").agg(
-            ((F.sum("_label") + 1) / (F.count("*") + 2)).alias(f"{name}_rate"), F.log1p(F.count("*")).alias(f"{name}_count")
+        name: counted.groupBy(f"_{name}").agg(
+            ((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(f"{name}_rate"), F.log1p(F.sum("n")).alias(f"{name}_count")
         ) for name in ("suffix", "domain")
     }
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
@@ -109,10 +117,11 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE_URLS) -> DataFrame
     others = [c for c in pages.columns if not c.startswith("_")]
     host, path = parts(F.col("url").cast("string"))
     kept = F.struct(*others).alias("_row") if others else F.lit(0).alias("_row")
-    rows = pages.select(kept, F.col("url").cast("string").alias("_url"), host.alias("_host"), path.alias("_path"))
+    page = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
+    rows = pages.select(kept, page.cast("string").alias("_id"), F.col("url").cast("string").alias("_url"), host.alias("_host"), path.alias("_path"))
     rule, verdict = matched(F.col("_host"), F.col("_path"), rules)
     rows = rows.withColumns({"_rule": rule, "_says": verdict})
-    model, tables = fit(rows.where("_says IS NOT NULL").select("_url", "_host", "_path", (F.col("_says") == "block").cast("int").alias("_label")), sample)
+    model, tables = fit(rows.where("_says IS NOT NULL").select("_id", "_url", "_host", "_path", (F.col("_says") == "block").cast("int").alias("_label")), sample)
     if model is None:
         scored = rows.withColumn("_block_score", F.when(F.col("_says").isNull(), F.lit(float(tables))))
     else:

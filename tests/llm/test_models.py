@@ -112,6 +112,34 @@ def test_url_features_and_trees(spark):
     assert got["http://h1.org/zz/99999999999999"] == "block" and got["http://h1.org/about/us"] == "allow"
 
 
+def test_url_statistics_count_all_labelled_urls(spark):
+    """Not only the sample; and a URL that fills a third of the rows comes into the sample by its share."""
+    rows = [(i, f"http://h{i}.net/{'es' if i % 2 else 'fr'}/{i}") for i in range(300)] + [(300 + i, "http://hot.com/a") for i in range(150)]
+    host, path = urls.parts(F.col("_url"))
+    df = spark.createDataFrame(rows, "_id long, _url string").withColumns({"_host": host, "_path": path, "_label": F.col("_url").contains("/es/").cast("int")})
+    _, tables = urls.fit(df, sample=100)
+    got = {r._domain: (r.domain_rate, r.domain_count) for r in tables["domain"].collect()}
+    assert len(got) == 301 and got["hot.com"] == (1 / 152, math.log1p(150)) and got["h7.net"] == (2 / 3, math.log1p(1))
+    assert {r._suffix: r.suffix_rate for r in tables["suffix"].collect()} == {"net": 151 / 302, "com": 1 / 152}
+
+
+@pytest.mark.parametrize("hot", range(4))
+def test_url_sample_is_not_one_url(spark, monkeypatch, hot):
+    """Rows of one URL are chosen by their page."""
+    seen = []
+    lexical = urls.lexical
+
+    def watched(df):
+        if "_label" in df.columns:
+            seen.append(df.count())
+        return lexical(df)
+
+    monkeypatch.setattr(urls, "lexical", watched)
+    rows = [(i, f"http://hot{hot}.com/a") for i in range(2000)]
+    urls.judge(spark.createDataFrame(rows, "page_id long, url string"), sample=200).count()
+    assert 120 <= seen[0] <= 280
+
+
 def test_license_scan(spark, documents):
     scanner = licenses.fit(documents.select("text"))
     rows = [
