@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.llm.shared import map_batches
 
-SAMPLE_PAGES = 2000  # expected number of pages that the weights are counted on
+SAMPLE_PAGES = 2000  # expected number of labelled pages that the weights are counted on
 MOST = 4.0  # bound of a weight
 LEAST_TAG = -0.05
 
@@ -114,10 +114,11 @@ def _counts(batch):
 
 
 def weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log-odds by key, from about ``sample`` pages chosen by a hash; empty without labelled pages."""
+    """Log-odds by key, from about ``sample`` of the labelled pages chosen by a hash; empty without labelled pages."""
+    pages = pages.where(F.col("html").rlike("(?i)<(?:article|main)(?![a-z0-9:-])"))
     share = min(1.0, sample / max(1, pages.count()))
     chance = F.pmod(F.xxhash64("html", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = pages.where(F.col("html").isNotNull() & (chance < share)).select("html")
+    chosen = pages.where(chance < share).select("html")
     counted = map_batches(chosen, _counts, "key string, inside long, outside long").groupBy("key").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside")
     )

@@ -174,6 +174,13 @@ def test_main_text_of_all_pages(spark):
         assert r._main_text == article(r.html) and r._n_chars == len(r._main_text), r.page_id
 
 
+def test_weights_are_counted_where_few_pages_are_labelled(spark):
+    marked = [(f"<body><nav>menu {i}</nav><MAIN><p>some words of text {i}</p></MAIN></body>",) for i in range(5)]
+    plain = [(f"<body><div>page {i} has no mark</div><main-menu>x</main-menu></body>",) for i in range(995)]
+    alone = html.weights(spark.createDataFrame(marked, "html string"), sample=20)
+    assert alone and html.weights(spark.createDataFrame(plain + marked, "html string"), sample=20) == alone
+
+
 def test_main_text_of_odd_pages(spark):
     body = " ".join(f"word{i}" for i in range(40))
     plain = "<html><body><nav><a href='/'>Home page</a></nav><div><h1>Title here</h1><p>{}</p></div><footer>Some foot</footer></body></html>"
