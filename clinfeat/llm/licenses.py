@@ -159,9 +159,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Scanner:
     scanner.bias[:len(present)] = model.interceptVector.toArray()
     check, truth = [t for t, h in zip(texts, held) if h], np.array([y for y, h in zip(labels, held) if h])
     if len(check):
-        block = next(iter(paragraphs(pa.array([t.replace("\n", " ") for t in check], pa.large_string()))))[0]
-        logits = scanner.logits(block)[:len(check)]
-        truth = truth[:len(logits)]
+        lines = paragraphs(pa.array([t.replace("\n", " ") for t in check], pa.large_string()))
+        logits = np.concatenate([scanner.logits(block) for block, _, _ in lines])
 
         def loss(t):
             z = logits / t

@@ -140,6 +140,23 @@ def test_url_sample_is_not_one_url(spark, monkeypatch, hot):
     assert 120 <= seen[0] <= 280
 
 
+def test_license_calibration_reads_all_held_out_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(500)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(words, k=9000)),) for _ in range(60)], "text string")
+    rows = []
+    logits = licenses.Scanner.logits
+
+    def counted(self, lines):
+        rows.append(lines.rows)
+        return logits(self, lines)
+
+    monkeypatch.setattr(licenses.Scanner, "logits", counted)
+    licenses.fit(docs)
+    templates = sum(map(len, licenses.TEMPLATES.values()))
+    assert len(rows) > 1 and sum(rows) > 0.15 * templates * licenses.VARIANTS
+
+
 def test_license_scan(spark, documents):
     scanner = licenses.fit(documents.select("text"))
     rows = [
