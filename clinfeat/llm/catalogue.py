@@ -3,13 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import chat, decontam, html, langid, licenses, near, packing, substring, urls, vectors
+from clinfeat.llm import align, chat, decontam, html, langid, licenses, near, packing, substring, urls, vectors
 from clinfeat.llm.shared import table
 
 QUERIES = {}
 
 # The tokenizer's file lies beside the installed package, on the driver and on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -96,3 +97,14 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence statements in the paragraphs of all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query
+def op13_hashed_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, aligned, and the corpus-wide counts of the pairs they link."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    digest = F.when(F.col("_groups") == "", "").otherwise(F.sha2("_groups", 256))
+    return align.aligned(docs, TOKENIZER, PIECES).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"_{x}").alias(x) for x in names], digest.alias("groups_sha256")
+    )
