@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import align, chat, decontam, html, langid, licenses, near, packing, substring, urls, vectors
+from clinfeat.llm import align, chat, decontam, html, langid, licenses, near, packing, spelling, substring, urls, vectors
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -108,3 +108,10 @@ def op13_hashed_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.aligned(docs, TOKENIZER, PIECES).select(
         F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"_{x}").alias(x) for x in names], digest.alias("groups_sha256")
     )
+
+
+@query
+def op12_kd_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, one in 31 of a document's words worn by a letter, with their near words and forms."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.counted_words(docs, least=7, occurrences=2, one_in=31), ratio=10)

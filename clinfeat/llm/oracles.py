@@ -83,4 +83,39 @@ ORACLES = {
         d AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM c)
         SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
     """,
+    # crc32 byte by byte over a table made by its rule; near words share what is left when one place is blanked or cut out.
+    "op12_kd_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM (SELECT unnest(range(256)) AS i)
+        ), run AS (
+            SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+            WHERE length(r) >= 7 GROUP BY ALL
+        ), byte AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM run),
+        summed AS (
+            SELECT r, n, xor(4294967295, list_reduce(
+                list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+                lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) AS h
+            FROM byte, crc
+        ), worn AS (
+            SELECT CASE WHEN h % 31 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM summed
+        ), w AS (SELECT word, sum(n)::BIGINT AS n FROM worn WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        cut AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        pair AS (
+            SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON w.word = c.a || c.b
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON w.word = c.a || c.b
+        ), best AS (
+            SELECT word, count(*) AS n_near, min_by(other, row(-n, other)) AS other, max(n) AS most FROM pair GROUP BY word
+        ), f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form,
+              CASE WHEN most >= 10 * w.n THEN most END AS form_n
+            FROM w LEFT JOIN best USING (word)
+        ), way AS (
+            SELECT word, word AS place, 0 AS k FROM f
+            UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON f.word = way.place WHERE f.form IS NOT NULL
+        ), last AS (SELECT word, max_by(place, k) AS root FROM way GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+    """,
 }
