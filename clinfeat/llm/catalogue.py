@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinfeat.llm import align, chat, decontam, html, langid, licenses, near, packing, spelling, substring, urls, vectors
+from clinfeat.llm import align, chat, decontam, html, langid, licenses, near, packing, pii, spelling, substring, urls, vectors
 from clinfeat.llm.shared import table
 
 QUERIES = {}
@@ -99,6 +99,17 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+@query
+def op11_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: the plain forms, and what the field adds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs))
+    base = F.filter("_spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
+
+
 @query
 def op13_hashed_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's tokens under two tokenizers, aligned, and the corpus-wide counts of the pairs they link."""
