@@ -1,5 +1,6 @@
-"""Model fitting with MLlib: every fit aggregates on the executors, only the model comes back."""
+"""Model fitting: every fit aggregates on the executors, only the model comes back. Searches over logistic fits are in ``newton``."""
 
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
@@ -12,12 +13,16 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import SEED
+from clinfeat.learning import newton
 from clinfeat.operators.ordered import hash_order
+from clinfeat.sources.stages import materialize
 
 LABEL = "outcome"
 
 ESTIMATORS = {
-    "logistic": lambda **p: LogisticRegression(labelCol=LABEL, weightCol="_weight", **p),
+    "logistic": lambda **p: LogisticRegression(
+        labelCol=LABEL, weightCol="_weight", **{"standardization": False, "maxIter": 500, "tol": 1e-12, **p}
+    ),
     "forest": lambda **p: RandomForestClassifier(
         labelCol=LABEL, seed=SEED, **{"numTrees": 250, "maxDepth": 10, "minInstancesPerNode": 10, **p}
     ),
@@ -48,10 +53,15 @@ def estimator(model: str, **params):
 
 
 def fit(df: DataFrame, features: list[str], model: str = "logistic", **params) -> PipelineModel:
-    """Fit one of ``ESTIMATORS`` on the feature columns; the logistic model balances the classes."""
-    stage = estimator(model, **params)
+    """Fit one of ``ESTIMATORS`` on the feature columns.
+
+    The logistic model balances the classes and has an L2 penalty of 1 on the coefficients as they are, unless ``regParam`` says
+    otherwise (MLlib's is per unit of weight, and the weights sum up to the number of rows).
+    """
     if model == "logistic":
         df = with_class_weights(df)
+        params = {"regParam": 1.0 / max(1, df.count()), **params}
+    stage = estimator(model, **params)
     return Pipeline(stages=[assembler(features), stage]).fit(df)
 
 
@@ -109,26 +119,45 @@ def cross_validate(df: DataFrame, features: list[str], model: str, grid: dict[st
     return search.bestModel, table.orderBy(F.desc("mean_score"), *names)
 
 
-def eliminate_features(df: DataFrame, features: list[str], metric: str = "accuracy",
-                       folds: int = 5, step: int = 1) -> DataFrame:
-    """Drop the weakest standardised coefficient, score the rest by cross-validation, repeat.
+def eliminate_features(df: DataFrame, features: list[str], folds: int = 5, step: int = 1,
+                       strength: float = 1.0) -> DataFrame:
+    """Drop the weakest standardised coefficients, score the rest by cross-validation, repeat.
 
-    One row per number of features: its score, the features, and those dropped next.
+    Every fold drops its own features, judged by its training rows; its held-out rows give the accuracy of each size.
+    One row per number of features: the mean accuracy, the features that all rows together keep, and those they drop next.
+    ``strength`` is the inverse of the L2 penalty. All fits read the rows together (``newton``).
     """
     spread = df.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    std = {c: spread[f"s{i}"] or 0.0 for i, c in enumerate(features)}
-    left, rows = list(features), []
-    while left:
-        best, table = cross_validate(df, left, "logistic", {"regParam": [0.0]}, metric, folds)
-        strength = {c: abs(b) * std[c] for c, b in zip(left, best.coefficients.toArray())}
-        weakest = sorted(left, key=lambda c: (strength[c], c))[:step]
-        rows.append((len(left), table.first()["mean_score"], list(left), weakest))
-        left = [c for c in left if c not in weakest]
+    deviation = np.array([spread[f"s{i}"] or 0.0 for i in range(len(features))])
+    rows = newton.Rows(df, features, LABEL, fold("enc_id", folds))
+    paths = newton.elimination_path(rows, deviation, [-1, *rows.folds], step, strength)
+    out = []
+    for k, (kept, dropped) in enumerate(paths[-1]):
+        scores = [paths[f][k][0].right / paths[f][k][0].held for f in rows.folds]
+        names = [[features[c] for c in cells] for cells in (kept.columns, dropped)]
+        out.append((len(kept.columns), float(np.mean(scores)) if scores else None, *names))
     return df.sparkSession.createDataFrame(
-        rows, "n_features int, mean_score double, features array<string>, dropped array<string>"
+        out, "n_features int, mean_score double, features array<string>, dropped array<string>"
     )
 
 
+def regularisation_path(df: DataFrame, features: list[str], strengths: list[float], folds: int = 3) -> tuple[DataFrame, newton.Fit]:
+    """(inverse_strength, mean_score, std_score) of each inverse L2 penalty, best first, and the best one fitted on all rows.
+
+    The score is the area under the curve of the held-out rows of each fold. All folds are solved together, and a strength starts from
+    the sums of the one before. Equal scores: the smaller strength.
+    """
+    rows = newton.Rows(df, features, LABEL, fold("enc_id", folds))
+    path = newton.penalty_path(rows, strengths, [-1, *rows.folds])
+    fits = [f for own in path for f in own if f.held_out >= 0]
+    number = df.sparkSession.createDataFrame([(i, f.strength) for i, f in enumerate(fits)], "fit int, inverse_strength double")
+    aucs = newton.grouped_auc(rows.scored(fits), ["fit"]).join(F.broadcast(number), "fit")  # a row for each strength and fold
+    table = aucs.groupBy("inverse_strength").agg(F.avg("auc").alias("mean_score"), F.stddev_pop("auc").alias("std_score"))
+    table = materialize(table, "regularisation").orderBy(F.desc("mean_score"), "inverse_strength")
+    best = table.first()["inverse_strength"]
+    return table, next(own[0] for own in path if own[0].strength == best)
+
+
 def feature_ranking(eliminated: DataFrame) -> DataFrame:
     """Rank 1 for the features of the best size; the others by how late they were dropped."""
     best = eliminated.orderBy(F.desc("mean_score"), "n_features").limit(1)

@@ -166,9 +166,7 @@ class Called(Exception):
 
 
 @pytest.mark.parametrize("name,owner,function,expected", [
-    ("feature_elimination", models, "eliminate_features", {"folds": 3}),
     ("grid_search", models, "cross_validate", {"folds": 5, "fixed": {"numTrees": 250}}),
-    ("cv_regularisation", models, "cross_validate", {"folds": 3, "fixed": {"maxIter": 200}}),
     ("learning_curve", evaluate, "learning_curve", {}),
     ("fold_rmse", evaluate, "fold_rmse", {"folds": 10}),
     ("fit_gbt", models, "fit_boosted", {}),
@@ -193,4 +191,4 @@ def test_queries_fit_all_features_with_the_scripts_settings(spark, monkeypatch,
     columns, args, params = error.value.args
     assert columns == features and params == expected
     if function == "cross_validate":
-        assert [len(x) for x in args[1].values()] == ([3, 3] if name == "grid_search" else [10])
+        assert [len(x) for x in args[1].values()] == [3, 3]
