@@ -2,12 +2,11 @@
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES, FOLDED_GROUPS, MODEL_FEATURES, SEED
 from clinfeat.functions.numbers import capped_sum, combined_label, non_null_count
+from clinfeat.operators.nearest import nearest_values
 from clinfeat.operators.ordered import exact_quantiles, first_by_hash
 from clinfeat.operators.profile import unpivot
 
@@ -144,82 +143,32 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return apply_scaler(df, fit_scaler(df, columns))
 
 
-def _nearest(key, targets: pd.DataFrame, donors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest donors of one block for every missing cell of one block of rows."""
-    if targets.empty or donors.empty:
-        return pd.DataFrame(columns=["id", "feature", "distance", "donor", "value"])
-    x = np.array(targets["x"].tolist(), dtype=float)
-    y = np.array(donors["x"].tolist(), dtype=float)
-    donor_ids = donors["id"].to_numpy()
-    total = np.zeros((len(x), len(y)))
-    shared = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1]):
-        diff = (x[:, j, None] - y[None, :, j]) ** 2
-        known = ~np.isnan(diff)
-        total[known] += diff[known]
-        shared += known
-    with np.errstate(invalid="ignore", divide="ignore"):
-        distance = np.where(shared > 0, total / shared, np.inf).round(9)
-    distance[targets["id"].to_numpy()[:, None] == donor_ids[None, :]] = np.inf
-    out = []
-    order_tie = np.argsort(donor_ids, kind="stable")
-    for i, j in zip(*np.nonzero(np.isnan(x))):
-        usable = order_tie[~np.isnan(y[order_tie, j]) & np.isfinite(distance[i, order_tie])]
-        best = usable[np.argsort(distance[i, usable], kind="stable")[:k]]
-        out += [(targets["id"].iat[i], j, distance[i, b], donor_ids[b], y[b, j]) for b in best]
-    return pd.DataFrame(out, columns=["id", "feature", "distance", "donor", "value"])
-
-
 def impute_nearest(df: DataFrame, columns: list[str], id_col: str = "enc_id", k: int = 3,
                    donors: DataFrame | None = None, block_rows: int = 2048,
-                   min_distance: float = 1e-6) -> DataFrame:
+                   min_distance: float = 1e-6, audit: dict | None = None) -> DataFrame:
     """Fill each missing cell from the k nearest rows that have it, weighted by inverse distance.
 
     Distance is the mean squared difference over the columns both rows have; scale the columns
-    first. A cell without any usable row stays NULL. Ties go to the lower donor id.
+    first. NaN is missing. A cell without any usable row stays NULL. Ties go to the lower donor id.
 
-    Exact: every row with a missing cell meets every donor. Rows and donors are cut into blocks of
-    about ``block_rows`` by a hash of the id, and one task compares one pair of blocks, so neither
-    side is held whole anywhere; what a task returns is k candidates per missing cell. The work
-    still grows with rows times donors: meant for the balanced training set. For larger data use
-    ``impute_median``.
+    Exact, and for all rows: blocks of rows that cannot hold a nearer donor are not read (``nearest``).
+    ``audit`` gets the numbers of pairs of blocks that were read and that there are.
     """
-    cols = [F.col(f"`{c}`").cast("double") for c in columns]
     def points(frame):
-        return frame.select(F.col(id_col).alias("id"), F.array(*cols).alias("x"))
+        return frame.select(F.col(id_col).cast("long").alias("id"), F.array(*[known(c) for c in columns]).alias("x"))
 
     rows, source = points(df), points(df if donors is None else donors)
-    # copies of a row (oversampling) get the same answer, so one of them is enough
-    incomplete = rows.filter(F.exists("x", lambda v: v.isNull())).dropDuplicates(["id"])
-
-    def blocks(frame):
-        return F.greatest(F.lit(1), F.ceil(frame.agg(F.count("*")).scalar() / block_rows)).cast("int")
-
-    def spread(frame, own, other, n_own, n_other):
-        return frame.withColumn(own, F.pmod(F.xxhash64("id"), n_own).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), n_other - 1))
-        )
-
-    n_rows, n_donors = blocks(incomplete), blocks(source)
-    left = spread(incomplete, "rb", "db", n_rows, n_donors)
-    right = spread(source, "db", "rb", n_donors, n_rows)
-    found = left.groupBy("rb", "db").cogroup(right.groupBy("rb", "db")).applyInPandas(
-        lambda key, t, d: _nearest(key, t, d, k),
-        "id long, feature int, distance double, donor long, value double",
-    )
-    w = W.partitionBy("id", "feature").orderBy("distance", "donor")
+    found = nearest_values(rows, source, len(columns), k, block_rows, audit)
     weight = F.lit(1.0) / F.greatest(F.col("distance"), F.lit(min_distance))
     filled = (
-        found.withColumn("_n", F.row_number().over(w))
-        .filter(F.col("_n") <= k)
-        .groupBy("id", "feature")
+        found.groupBy("id", "feature")
         .agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
         .groupBy("id")
         .agg(*[F.max(F.when(F.col("feature") == j, F.col("value"))).alias(f"_f{j}") for j in range(len(columns))])
         .withColumnRenamed("id", id_col)
     )
     return df.join(filled, id_col, "left").withColumns({
-        c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"_f{j}")) for j, c in enumerate(columns)
+        c: F.coalesce(known(c), F.col(f"_f{j}")) for j, c in enumerate(columns)
     }).drop(*[f"_f{j}" for j in range(len(columns))])
 
 

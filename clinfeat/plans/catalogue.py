@@ -734,24 +734,21 @@ def impute_median(r):
     return prep.impute_median(labs(r), measures.lab_labels(TEST_LABS))
 
 
-def small_rows(r: Retail) -> DataFrame:
-    """Scaled labs, age-free, of stays with the outcome code: the rows imputation works on."""
-    names = measures.lab_labels(TEST_LABS)
-    coded = r.diag.filter(r.code_is).select("enc_id").distinct()
-    rows = stages.materialize(labs(r).join(coded, "enc_id").drop("subj_id"), "small_rows")
-    return prep.standardise(rows, names)
+def scaled_labs(r: Retail) -> DataFrame:
+    """Scaled labs of all stays: the rows imputation works on."""
+    return prep.standardise(stages.materialize(labs(r).drop("subj_id"), "scaled_labs"), measures.lab_labels(TEST_LABS))
 
 
 @query
 def impute_knn(r):
     names = measures.lab_labels(TEST_LABS)
-    return rounded(prep.impute_nearest(small_rows(r), names), names)
+    return rounded(prep.impute_nearest(scaled_labs(r), names), names)
 
 
 @query
 def impute_error(r):
     names = measures.lab_labels(TEST_LABS)
-    truth = small_rows(r)
+    truth = scaled_labs(r)
     masked = prep.mask_cells(truth, names)
     out = prep.imputation_error(truth, masked, prep.impute_median(masked, names), names)
     return rounded(out, ["mse"])

@@ -589,16 +589,11 @@ oracle("stratified_split", split("labels", "doc_id", "quality"))
 oracle("split_orders", split("(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderkey", "o_orderstatus"))
 oracle("impute_median", "SELECT subj_id, enc_id, " + ", ".join(
     f"coalesce({n}, (SELECT median({n}) FROM first_labs)) AS {n}" for n in LABS) + " FROM first_labs", "first_labs")
-VIEWS["small"] = (["first_labs", "diag"], f"""
-    SELECT l.* FROM first_labs l WHERE enc_id IN (SELECT enc_id FROM diag WHERE {CODED})""")
-VIEWS["scaled"] = (["small"], "SELECT enc_id, " + ", ".join(
+VIEWS["scaled"] = (["first_labs"], "SELECT enc_id, " + ", ".join(
     f"({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END AS {n}"
-    for n in LABS) + " FROM small")
+    for n in LABS) + " FROM first_labs")
 SQUARES = " + ".join(f"coalesce((a.{n} - b.{n}) * (a.{n} - b.{n}), 0)" for n in LABS)
 SHARED = " + ".join(f"CASE WHEN a.{n} IS NULL OR b.{n} IS NULL THEN 0 ELSE 1 END" for n in LABS)
-VIEWS["pairs"] = (["scaled"], f"""
-    SELECT a.enc_id, b.enc_id AS donor, round(({SQUARES}) / ({SHARED}), 9) AS d FROM scaled a JOIN scaled b
-    ON a.enc_id <> b.enc_id WHERE ({SHARED}) > 0""")
 
 
 def filled(n):
@@ -606,11 +601,12 @@ def filled(n):
         WHERE x.enc_id = s.enc_id))"""
 
 
-for _n in LABS:
-    VIEWS[f"near_{_n}"] = (["pairs", "scaled"], f"""
-        SELECT p.enc_id, d, b.{_n} AS v FROM pairs p JOIN scaled b ON b.enc_id = p.donor AND b.{_n} IS NOT NULL
-        JOIN scaled a ON a.enc_id = p.enc_id AND a.{_n} IS NULL
-        QUALIFY row_number() OVER (PARTITION BY p.enc_id ORDER BY d, donor) <= 3""")
+for _n in LABS:  # every pair is compared
+    VIEWS[f"near_{_n}"] = (["scaled"], f"""
+        SELECT enc_id, x.d AS d, x.v AS v FROM (
+          SELECT a.enc_id, unnest(min({{'d': round(({SQUARES}) / ({SHARED}), 9), 'donor': b.enc_id, 'v': b.{_n}}}, 3)) AS x
+          FROM scaled a JOIN scaled b ON a.{_n} IS NULL AND b.{_n} IS NOT NULL AND a.enc_id <> b.enc_id AND ({SHARED}) > 0
+          GROUP BY a.enc_id)""")
 oracle("impute_knn", "SELECT enc_id, " + ", ".join(r(filled(n), n) for n in LABS) + " FROM scaled s",
        "scaled", *[f"near_{n}" for n in LABS])
 
