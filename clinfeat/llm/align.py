@@ -31,7 +31,7 @@ from clinfeat.llm import tokens, words
 from clinfeat.llm.shared import cut
 from clinfeat.sources.stages import materialize
 
-BLOCK = 16 << 20  # bytes of text
+BLOCK = 8 << 20  # bytes of text
 STRING = 1024
 MANY_LINKS = 1 << 16  # beyond so many links of a group, its distinct ids are paired instead of its tokens
 BUCKETS = 64
@@ -166,10 +166,10 @@ class Units:
             unit, self.keys, self.often = unit[order], self.keys[order], self.often[order]
         self.starts = np.searchsorted(unit, np.arange(len(units) + 1))
 
-        self.texts = []
+        self.texts = None
         if texts:
-            groups, of = _group_texts(a, b, to_a, to_b).tolist(), of.tolist()
-            self.texts = [";".join(groups[of[i]:of[i + 1]]) for i in range(len(units))]
+            groups, of = _group_texts(a, b, to_a, to_b), of.tolist()
+            self.texts = np.array([";".join(groups[i:j]) for i, j in zip(of, of[1:])], object)
 
 
 def _group_texts(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
@@ -231,8 +231,8 @@ class Texts:
         for x in sums:
             running = np.concatenate([[0], np.cumsum(x[self.numbers])])
             out.append(running[self.stop] - running[self.first])
-        numbers, bounds = self.numbers.tolist(), zip(self.first.tolist(), self.stop.tolist())
-        return np.stack(out), [";".join(map(units.texts.__getitem__, numbers[i:j])) for i, j in bounds]
+        bounds = zip(self.first.tolist(), self.stop.tolist())
+        return np.stack(out), [";".join(units.texts[self.numbers[i:j]]) if i < j else "" for i, j in bounds]
 
 
 def build_hash(keys: np.ndarray) -> list[np.ndarray]:
