@@ -61,7 +61,7 @@ def test_other_donors(spark):
 
 def test_far_blocks_are_skipped(spark):
     """Of rows in clusters, most pairs of blocks are never read."""
-    rows, audit = made(4, 900, 3, 0.08, clusters=12, spread=0.3), {}
+    rows, audit = made(4, 3000, 3, 0.08, clusters=6, spread=0.3), {}
     check(spark, rows, rows, 3, 16, audit)
     assert 0 < audit["first"] + audit["second"] < 0.5 * audit["pairs"], audit
 
