@@ -1,65 +1,32 @@
 """Hierarchical packing of tokenized documents into windows of several lengths.
 
-Every document is cut into full windows of the longest context and a remainder. A remainder is routed to the smallest context
-that holds it. The longest tier's remainders open windows, and the gaps are filled from the shorter tiers: the longest piece that fits
-first, and where none fits a piece is cut. So all windows but the last few of a task are full; what is left at a task's end goes to
-windows of powers of two, which need no padding. Each task packs its own rows and holds at most ``PENDING`` remainders, so nothing is
-shuffled. Windows of a batch are dealt to step groups of ``group`` windows from the costliest (sum of squared
-piece lengths) to the cheapest and back, so that groups cost about the same.
+Every document is cut into full windows of the longest context and a remainder, which is routed to the smallest tier that holds it. Tiers are
+packed from the longest to the shortest: a tier's longest waiting piece opens a window of the tier's length, and its gap is filled from the shorter
+tiers, then from its own, by the longest piece that fits; where none fits, the smallest that does not is cut. So windows are full, and as
+tiers are powers of two none needs padding. Pieces that no longer fill a window of their tier wait for more; at a task's
+end they go to windows of smaller powers of two. A task holds at most ``PENDING`` remainders, and texts are not shuffled.
+
+Windows of all tasks are dealt to step groups of about ``group`` windows, length by length and from the costliest (sum of squared piece
+lengths, in ``GRADES``) to the cheapest, back and forth, so that groups hold equally many windows of every length and cost about the same.
 """
 
-import json
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
-
-PENDING = 2048
-_ENCODERS: dict = {}
-
-#: The pattern that cuts a text before byte-level BPE, as in the byte-level pre-tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from clinfeat.llm import tokens
+from clinfeat.sources.stages import materialize
 
-def _bytes_of_symbols() -> dict[str, int]:
-    """Byte-level symbols: printable bytes stand for themselves, the others for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
+PENDING = 2048
+GRADES = 16
+MOST_BROADCAST = 500_000  # rows of 40 bytes
 
-def encoder(path: str):
-    """Text -> ids as an array, as the tokenizer file says, special tokens' strings being ordinary text.
 
-    A plain byte-level BPE file whose ids follow its merges is run by a faster library over the same vocabulary, with the same ids.
-    """
-    if path not in _ENCODERS:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        fast = (
-            model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before["add_prefix_space"]
-            and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges"))
-        )
-        if fast:
-            byte, special = _bytes_of_symbols(), {x["content"] for x in spec["added_tokens"]}
-            merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-            fast = all(set(x) <= set(byte) for x in model["vocab"] if x not in special) and merged == sorted(merged)
-        if fast:
-            import tiktoken
-
-            ranks = {bytes(byte[c] for c in x): i for x, i in model["vocab"].items() if x not in special}
-            own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[path] = lambda text: own.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-        else:
-            from tokenizers import Tokenizer
-
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            _ENCODERS[path] = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
-    return _ENCODERS[path]
+def _length(piece) -> int:
+    return len(piece[2])
 
 
 class Packer:
@@ -68,8 +35,8 @@ class Packer:
     def __init__(self, context: int, tiers: int):
         self.context = context
         self.limits = [context >> (tiers - 1 - i) for i in range(tiers)]
-        self.waiting: list[list] = [[] for _ in self.limits]
-        self.tokens, self.pieces, self.full = 0, 0, []
+        self.waiting: list[list] = [[] for _ in self.limits]  # by length
+        self.tokens, self.pieces, self.full = [0] * tiers, 0, []
 
     def add(self, document, ids: np.ndarray) -> None:
         start = 0
@@ -80,91 +47,74 @@ class Packer:
             self._wait((document, start, ids[start:]))
 
     def _wait(self, piece) -> None:
-        tier = next(i for i, limit in enumerate(self.limits) if len(piece[2]) <= limit)
-        self.waiting[tier].append(piece)
-        self.tokens += len(piece[2])
+        tier = bisect_left(self.limits, _length(piece))
+        queue = self.waiting[tier]
+        queue.insert(bisect_right(queue, _length(piece), key=_length), piece)
+        self.tokens[tier] += _length(piece)
         self.pieces += 1
 
-    def _take(self, room: int):
-        """The longest waiting piece that fits, else a part of the shortest one."""
-        tier = min(bisect_right(self.limits, room), len(self.limits) - 1)
-        for t in range(tier, -1, -1):
-            queue = self.waiting[t]
-            if not queue:
-                continue
-            at = bisect_right(queue, room, key=lambda p: len(p[2])) - 1
-            if at >= 0:
-                return self._out(t, at)
-        for t in range(len(self.limits)):
-            if self.waiting[t]:
-                document, start, ids = self._out(t, 0)
-                rest = (document, start + room, ids[room:])
-                tier = next(i for i, limit in enumerate(self.limits) if len(rest[2]) <= limit)
-                queue = self.waiting[tier]
-                queue.insert(bisect_right(queue, len(rest[2]), key=lambda p: len(p[2])), rest)
-                self.tokens += len(rest[2])
-                self.pieces += 1
-                return document, start, ids[:room]
-        return None
-
     def _out(self, tier: int, at: int):
         piece = self.waiting[tier].pop(at)
-        self.tokens -= len(piece[2])
+        self.tokens[tier] -= _length(piece)
         self.pieces -= 1
         return piece
 
-    def _window(self, size: int) -> None:
-        window, room = [], size
+    def _filler(self, top: int, room: int):
+        """Of the tiers up to ``top`` the longest piece that fits, shorter tiers first; else a part of the smallest that does not."""
+        for tier in [*range(top - 1, -1, -1), top]:
+            at = bisect_right(self.waiting[tier], room, key=_length) - 1
+            if at >= 0:
+                return self._out(tier, at)
+        tier = next(t for t in range(top + 1) if self.waiting[t])
+        document, start, ids = self._out(tier, 0)
+        self._wait((document, start + room, ids[room:]))
+        return document, start, ids[:room]
+
+    def _window(self, top: int, size: int) -> None:
+        window = []
+        if size == self.limits[top] and self.waiting[top]:
+            window.append(self._out(top, len(self.waiting[top]) - 1))
+        room = size - sum(map(_length, window))
         while room:
-            piece = self._take(room)
-            window.append(piece)
-            room -= len(piece[2])
+            window.append(self._filler(top, room))
+            room -= _length(window[-1])
         self.full.append((size, window))
 
     def pack(self, last: bool = False) -> None:
-        """All full windows that the waiting pieces give; at the end also the windows of powers of two."""
-        for queue in self.waiting:
-            queue.sort(key=lambda p: (len(p[2]), p[0][0] is not None, p[0][0] or 0, p[1]))
-        while self.tokens >= self.context:
-            self._window(self.context)
-        size = self.context // 2
-        while last and self.tokens:
-            while size > self.tokens:
-                size //= 2
-            self._window(size)
-
-
-def _packed(batches, path: str, context: int, tiers: int, group: int, end: int):
-    encode, packer = encoder(path), Packer(context, tiers)
-    part = TaskContext.get().partitionId() << 32
-    number, groups = 0, 0
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
-    types = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 5
+        """All full windows of the tiers; at the end also smaller ones of powers of two, until nothing waits."""
+        for top in range(len(self.limits) - 1, -1, -1):
+            while self.waiting[top] and sum(self.tokens[:top + 1]) >= self.limits[top]:
+                self._window(top, self.limits[top])
+        while last and sum(self.tokens):
+            self._window(len(self.limits) - 1, min(self.context // 2, 1 << sum(self.tokens).bit_length() - 1))
+
+
+def _packed(batches, path: str, context: int, tiers: int, end: int):
+    encode, packer = tokens.encoder(path, special=True), Packer(context, tiers)
+    part, number = TaskContext.get().partitionId(), 0
+    counts: dict[tuple, int] = {}
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "grade", "part", "nth"]
+    types = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 7
 
     def out():
-        nonlocal number, groups
+        nonlocal number
         columns = [[] for _ in names]
         windows, packer.full = packer.full, []
-        costs = [sum(len(p[2]) ** 2 for p in pieces) for _, pieces in windows]
-        count = max(1, -(-len(windows) // group))
-        step = {}
-        for place, i in enumerate(sorted(range(len(windows)), key=lambda i: (-costs[i], i))):
-            lap, at = divmod(place, count)
-            step[i] = groups + (at if lap % 2 == 0 else count - 1 - at)
-        for i, (size, pieces) in enumerate(windows):
-            offset = 0
+        for size, pieces in windows:
+            grade = min(GRADES - 1, GRADES * sum(_length(p) ** 2 for p in pieces) // size ** 2)
+            offset, nth = 0, counts.get((size, grade), 0)
+            counts[size, grade] = nth + 1
             for (doc, total), start, ids in pieces:
-                row = (doc, start, len(ids), ids.tobytes(), total, part | number, offset, size, part | step[i])
+                row = (doc, start, len(ids), ids.tobytes(), total, part << 32 | number, offset, size, grade, part, nth)
                 for column, x in zip(columns, row):
                     column.append(x)
                 offset += len(ids)
             number += 1
-        groups += count
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+            ids = np.array([*encode(text.as_py() or ""), end], "<u4")
             packer.add((doc, len(ids)), ids)
             if packer.pieces >= PENDING or len(packer.full) >= PENDING:
                 packer.pack()
@@ -177,15 +127,31 @@ def _packed(batches, path: str, context: int, tiers: int, group: int, end: int):
 def pack(docs: DataFrame, path: str, context: int = 1024, tiers: int = 4, group: int = 64, end: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset, window, step_group) of ``docs`` (doc_id, text).
 
-    A document is its ids and then ``end``; null text is empty, so it is one token. ``ids``: little-endian 32-bit numbers. Each id lies in
-    exactly one piece; ``offset`` counts in the sequence from 0 without gaps; ``window`` is the sequence's padded length, here always its
-    length. A null doc_id and rows that repeat one are packed like any others. Other columns are ignored; an empty table gives no rows.
-    ``context`` is a power of two; ``path`` must be readable on the executors.
+    A document is the ids that the tokenizer file's plain call gives (strings of special tokens are those tokens) and then ``end``; null text
+    is empty, so it is one token. ``ids``: little-endian 32-bit numbers. Each id lies in exactly one piece; ``offset`` counts in
+    the sequence from 0 without gaps; ``window`` is the sequence's length, a power of two up to ``context``. Step groups are numbered from 0, and
+    their numbers of windows of one length differ by one at most. A null doc_id and rows that repeat one are packed like any others. Other
+    columns are ignored; an empty table gives no rows. ``context`` is a power of two; ``path`` must be readable on the executors.
     """
     if context & (context - 1) or not 0 < tiers <= context.bit_length():
         raise ValueError("context: a power of two; tiers: halvings of it")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(
-        lambda batches: _packed(batches, path, context, tiers, group, end),
-        "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step_group long",
+    pieces = materialize(rows.mapInArrow(
+        lambda batches: _packed(batches, path, context, tiers, end),
+        "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, grade long, part long, nth long",
+    ), "packed")
+    counts = pieces.where("offset = 0").groupBy("window", "grade", "part").agg(F.count("*").alias("n"))  # some rows for each task
+    own, longer = W.partitionBy("window").orderBy(F.desc("grade"), "part"), W.orderBy(F.desc("window"))
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.groupBy("window").agg(F.sum("n").alias("total")).withColumn("shift", F.sum("total").over(longer) - F.col("total"))
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(F.broadcast(sums), "window")
+    windows, rows = counts.agg(F.sum("n"), F.count("*")).first()
+    groups = F.lit(max(1, -(-(windows or 0) // group)))
+    # Lap by lap over the groups, so a length's last lap, which is not full, goes forth and the next length goes on behind it.
+    at = F.col("first") + F.col("nth")
+    lap, place = F.floor(at / groups), F.pmod(at, groups)
+    forth = (F.floor((F.col("total") - 1) / groups) - lap) % 2 == 0
+    step = F.pmod(F.when(forth, place).otherwise(groups - 1 - place) + F.col("shift"), groups)
+    return pieces.join(F.broadcast(first) if rows <= MOST_BROADCAST else first, ["window", "grade", "part"]).select(
+        "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", step.cast("long").alias("step_group")
     )

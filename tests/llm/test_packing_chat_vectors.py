@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from clinfeat.llm import chat, packing, vectors
+from clinfeat.llm import chat, packing, tokens, vectors
 from clinfeat.llm.catalogue import QUERIES, TOKENIZER
 from clinfeat.llm.oracles import ORACLES
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
+ENCODERS: dict = {}
 
 
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -54,19 +54,111 @@ def check_packed(rows, ids, context):
 
 def test_packing(spark, plain):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", F.lit("clash").alias("ids"))
-    odd = [(-1, None), (-2, ""), (-3, "<|endoftext|> it's"), (-4, "a" * 3000 + " \n\t  é漢字🙂\u00a0\r\n x"), (-5, "word " * 200_000)]
+    odd = [(-1, None), (-2, ""), (-3, "<|endoftext|> it's<|endoftext|><|endoftext|>"), (-6, " " * 3000 + "x"), (-4, "a" * 3000 + " \n\t  é漢字🙂\u00a0\r\n x"), (-5, "word " * 200_000)]
     all_ = docs.union(spark.createDataFrame([(i, t, "x") for i, t in odd], docs.schema)).repartition(5, "doc_id")
     ids = {r.doc_id: np.array([*plain(r.text), 0], "<u4") for r in all_.collect()}
     for context, tiers in ((1024, 4), (64, 1)):
         rows = packing.pack(all_, TOKENIZER, context, tiers).collect()
         check_packed(rows, ids, context)
-    groups = {}
-    for r in packing.pack(all_, TOKENIZER).collect():
-        groups.setdefault(r.step_group, set()).add(r.sequence_id)
-    assert max(map(len, groups.values())) <= 64
     assert packing.pack(all_.limit(0), TOKENIZER).count() == 0
 
 
+def test_step_groups_of_the_whole_job(spark):
+    """Every group has as many windows of each length as any other, give or take one, and costs about the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(7, "doc_id")
+    rows = packing.pack(docs, TOKENIZER, group=16).collect()
+    windows, cost = {}, {}
+    for r in rows:
+        windows[r.sequence_id] = (r.window, r.step_group)
+        cost[r.step_group] = cost.get(r.step_group, 0) + r.length ** 2
+    counts = {}
+    for size, group in windows.values():
+        counts.setdefault(size, {}).setdefault(group, 0)
+        counts[size][group] += 1
+    groups = sorted({g for _, g in windows.values()})
+    assert groups == list(range(-(-len(windows) // 16)))
+    for size, own in counts.items():
+        n = [own.get(g, 0) for g in groups]
+        assert max(n) - min(n) <= 1, (size, n)
+    assert max(cost.values()) < 1.25 * min(cost.values())
+    assert len(counts) > 4 and sum(n for size, own in counts.items() if size < 128 for n in own.values()) <= 7 * 7
+
+
+def packed_by_hand(lengths, limits):
+    """[(window, sorted pieces as (document, length))] of all full windows and those at the end, by searching everything for each step."""
+    context, out = limits[-1], []
+    waiting = []
+    for doc, n in enumerate(lengths):
+        out += [(context, [(doc, context)])] * (n // context)
+        if n % context:
+            waiting.append([doc, n // context * context, n % context])
+
+    def tier(n):
+        return min(i for i, limit in enumerate(limits) if n <= limit)
+
+    def fill(window, room, top):
+        while room:
+            fits = [p for p in waiting if p[2] <= room and tier(p[2]) <= top]
+            if fits:
+                short = [p for p in fits if tier(p[2]) < top]
+                best = max(short, key=lambda p: (tier(p[2]), p[2])) if short else max(fits, key=lambda p: p[2])
+                waiting.remove(best)
+                window.append((best[0], best[2]))
+                room -= best[2]
+            else:
+                best = min((p for p in waiting if tier(p[2]) <= top), key=lambda p: p[2])
+                window.append((best[0], room))
+                best[1], best[2] = best[1] + room, best[2] - room
+                room = 0
+
+    for top in range(len(limits) - 1, -1, -1):
+        while any(tier(p[2]) == top for p in waiting) and sum(p[2] for p in waiting if tier(p[2]) <= top) >= limits[top]:
+            first = max((p for p in waiting if tier(p[2]) == top), key=lambda p: p[2])
+            waiting.remove(first)
+            window = [(first[0], first[2])]
+            fill(window, limits[top] - first[2], top)
+            out.append((limits[top], window))
+    while waiting:
+        size = min(context // 2, 1 << sum(p[2] for p in waiting).bit_length() - 1)
+        window = []
+        fill(window, size, len(limits) - 1)
+        out.append((size, window))
+    return sorted((size, sorted(n for _, n in w)) for size, w in out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 150), max_size=40, unique=True), st.integers(1, 4))
+def test_tiers_and_gaps_equal_a_plain_search(lengths, tiers):
+    packer = packing.Packer(64, tiers)
+    for doc, n in enumerate(lengths):
+        packer.add((doc, n), np.arange(n))
+    packer.pack(last=True)
+    found = sorted((size, sorted(len(p[2]) for p in w)) for size, w in packer.full)
+    assert all(sum(own) == size for size, own in found)
+    assert not packer.pieces and not any(packer.tokens)
+    # Pieces of the same length are alike, so the windows are the same as long as cuts make no new equals.
+    if len({n % 64 for n in lengths}) == len(lengths):
+        assert [size for size, _ in found] == [size for size, _ in packed_by_hand(lengths, packer.limits)]
+
+
+def test_windows_of_every_tier():
+    """Long windows take short pieces into their gaps; what is left of a tier fills windows of the tier's length."""
+    packer = packing.Packer(1024, 4)
+    for doc, n in enumerate([900, 100, 20, 400, 100, 300, 200, 250, 6]):
+        packer.add((doc, n), np.arange(n))
+    packer.pack()
+    assert [(size, [len(p[2]) for p in w]) for size, w in packer.full][0] == (1024, [900, 100, 20, 4])
+    assert {size for size, _ in packer.full} == {1024, 512, 256} or {size for size, _ in packer.full} == {1024, 512}
+
+
+def test_very_long_runs(spark, plain):
+    """Texts that the fast encoder's pattern gives up on."""
+    rows = [(1, " " * 1_000_000 + "x"), (2, "\n" * 1_200_000), (3, "a" * 2_000_000), (4, " \t" * 800_000 + "<|endoftext|>")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {r.doc_id: r.doc_tokens for r in packing.pack(df, TOKENIZER).select("doc_id", "doc_tokens").distinct().collect()}
+    assert own == {i: len(plain(t)) + 1 for i, t in rows}
+
+
 def test_packing_repeated_and_null_ids(spark, plain):
     df = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "no id")], "doc_id long, text string").coalesce(1)
     rows = packing.pack(df, TOKENIZER).collect()
@@ -76,14 +168,17 @@ def test_packing_repeated_and_null_ids(spark, plain):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(list("ab'S te<|>9 \n\t\u00a0é漢🙂\u0301-_") + ["<|endoftext|>", "'ll", "  "]), max_size=60).map("".join))
 def test_encoder_equals_tokenizers(text):
-    tokenizer = test_encoder_equals_tokenizers.__dict__.setdefault("t", Tokenizer.from_file(TOKENIZER))
-    tokenizer.encode_special_tokens = True
-    assert packing.encoder(TOKENIZER)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    if "made" not in ENCODERS:
+        ENCODERS["made"] = Tokenizer.from_file(TOKENIZER), {x: tokens.encoder(TOKENIZER, x) for x in (False, True)}
+    tokenizer, made = ENCODERS["made"]
+    for special, encode in made.items():
+        tokenizer.encode_special_tokens = not special
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_of_another_kind():
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert packing.encoder(path)("Hello wide world").tolist() == Tokenizer.from_file(path).encode("Hello wide world", add_special_tokens=False).ids
+    assert tokens.encoder(path, True)("Hello wide world") == Tokenizer.from_file(path).encode("Hello wide world", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
