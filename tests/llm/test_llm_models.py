@@ -3,6 +3,8 @@
 import html as entities
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +200,52 @@ def test_weights_are_counted_where_few_pages_are_labelled(spark):
     assert alone and html.weights(spark.createDataFrame(plain + marked, "html string"), sample=20) == alone
 
 
+def test_main_text_without_marks(spark):
+    """Pages whose marks are renamed give the same text as with them, by the weights that other pages taught."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    odds = html.weights(spark.createDataFrame([(x,) for x in pages[::2]], "html string"))
+    for page in pages[1::2]:
+        assert html.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"), odds) == article(page)
+
+
+def test_names_that_do_and_do_not_end_content():
+    body = " ".join(f"word{i}" for i in range(30))
+    odds = {"p": 1.0, "div": 0.5, "<p": -0.1, "<div": -0.1, "<ul": -0.5, ".teaser": -4.0, ".lead": 2.0}
+    for name in ("related-work", "social-science", "share-prices", "notice", "comment-on-law", "header-text", "ads-b"):
+        assert html.main_text(f"<p>{body}</p><div class='{name}'><p>{body}</p></div><p>{body}</p>", odds) == f"{body} {body} {body}", name
+    for name in ("ad", "Advert big", "comments", "x sidebar", "teaser"):
+        assert html.main_text(f"<article><p>{body}</p><div class='{name}'><p>gone</p></div><p>{body}</p></article>", odds) == f"{body} {body}", name
+    assert html.never_named(odds) == {"teaser"}
+
+
+@pytest.mark.parametrize("piece", [
+    "<b ", '<a "', "<a '", "<!", "<?", "<", "</", "<script ", "<script>", "<!--", '<a x="y" ', "<a \"'", "<p><b>", "<div>", "</x>", "<x>", "<h1>", "<li>", "<i><div><b></i>",
+    "<a href='x'>y", "</i><b>", '<a title=">" ', "<p class=", "<b class='x' id=", "<svg/", "<style", "<table><tr><td>", "&amp", "<b>\"", "<b \"<b '",
+])
+def test_broken_pages_take_linear_time(piece):
+    """A page that repeats a broken piece: 10 MB of those the verdict named, 2 MB of the others."""
+    size = (10 if piece in ("<b ", '<a "', "<!", "<script") else 2) << 20
+    began = time.time()
+    html.main_text("<p>some words " + piece * (size // len(piece)), {})
+    assert time.time() - began < 45
+    began = time.time()
+    html.main_text("<div>" * 20_000 + "<i>" + "<x>" * 20_000 + piece * 20_000 + "</i>" * 20_000, {})
+    assert time.time() - began < 20
+
+
+def test_scanner_equals_a_plain_pattern():
+    """The tags that one pattern finds, tried at every place in turn, on small pages."""
+    pattern = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(script|style|svg)(?![a-zA-Z0-9:-]).*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I,
+    )
+    chance = random.Random(3)
+    parts = ["<", ">", '"', "'", "b", " ", "/", "!", "--", "<b ", "</b>", "<!--", "-->", "<script>", "</script >", "x=", "<p>", "svg", "<svg"]
+    for _ in range(4000):
+        page = "".join(chance.choice(parts) for _ in range(chance.randrange(25)))
+        found = [(a, b) for a, b, *_ in html._Scanner(page).tags()]
+        assert found == [m.span() for m in pattern.finditer(page)], page
+
+
 def test_main_text_of_odd_pages(spark):
     body = " ".join(f"word{i}" for i in range(40))
     plain = "<html><body><nav><a href='/'>Home page</a></nav><div><h1>Title here</h1><p>{}</p></div><footer>Some foot</footer></body></html>"
