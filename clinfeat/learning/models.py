@@ -29,7 +29,8 @@ ESTIMATORS = {
     "svm": lambda **p: LinearSVC(labelCol=LABEL, **p),
     "tree": lambda **p: DecisionTreeRegressor(labelCol=LABEL, seed=SEED, **p),
     "boosted": lambda **p: GBTClassifier(
-        labelCol=LABEL, seed=SEED, **{"maxDepth": 5, "stepSize": 0.1, "maxIter": 48, **p}
+        labelCol=LABEL, seed=SEED,
+        **{"maxDepth": 5, "stepSize": 0.1, "maxIter": 48, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 4, **p}
     ),
 }
 

@@ -6,7 +6,7 @@ Queries over a fixed score column have an oracle; those that fit a model do not.
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES
-from clinfeat.learning import evaluate, models
+from clinfeat.learning import evaluate, models, trees
 from clinfeat.operators import meds
 from clinfeat.plans import dataset as plans
 from clinfeat.plans.catalogue import (
@@ -141,6 +141,29 @@ def fit_gbt(r):
     return models.score(model, p.test).select("enc_id", "outcome", "prediction", "score")
 
 
+@query
+def boosting_rounds(r):
+    """Rounds of boosting by five folds, stopped a hundred rounds after the smallest error."""
+    p = prepared(r)
+    settings = {"stepSize": 0.06, "maxDepth": 6, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
+    return trees.boosting_rounds(p.train, p.features, folds=5, most=2000, patience=100, **settings)
+
+
+@query
+def boosted_recall_grid(r):
+    p = prepared(r)
+    fixed = {"maxIter": 100, "stepSize": 0.06, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    grid = {"maxDepth": [6], "minInstancesPerNode": [1]}
+    return models.cross_validate(p.train, p.features, "boosted", grid, metric="recallByLabel", folds=5, parallelism=1, fixed=fixed)[1]
+
+
+@query
+def split_counts(r):
+    """How often the boosted trees split on each feature."""
+    p = prepared(r)
+    return trees.split_counts(trees.tree_table(models.fit(p.train, p.features, "boosted"), r.spark, p.features))
+
+
 @query
 def cv_regularisation(r):
     """Ten inverse strengths from 1e-4 to 1e4."""
