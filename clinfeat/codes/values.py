@@ -168,3 +168,26 @@ DAYS_PER_YEAR = 365.242          # age at admission
 DAYS_PER_YEAR_AT_DEATH = 365.2425
 FOLLOW_ON_GAP_DAYS = 91
 SEED = 42
+
+#: Coefficients of the inverse normal distribution (M. J. Wichura, algorithm AS 241, 1988), highest power first:
+#: (numerator, denominator) near the middle, in the tails and far out.
+NORMAL_QUANTILE = {
+    "central": (
+        (2509.0809287301227, 33430.57558358813, 67265.7709270087, 45921.95393154987,
+         13731.69376550946, 1971.5909503065513, 133.14166789178438, 3.3871328727963665),
+        (5226.495278852854, 28729.085735721943, 39307.89580009271, 21213.794301586597,
+         5394.196021424751, 687.1870074920579, 42.31333070160091, 1.0),
+    ),
+    "near": (
+        (0.0007745450142783414, 0.022723844989269184, 0.2417807251774506, 1.2704582524523684,
+         3.6478483247632045, 5.769497221460691, 4.630337846156546, 1.4234371107496835),
+        (1.0507500716444169e-09, 0.0005475938084995345, 0.015198666563616457, 0.14810397642748008,
+         0.6897673349851, 1.6763848301838038, 2.053191626637759, 1.0),
+    ),
+    "far": (
+        (2.0103343992922881e-07, 2.7115555687434876e-05, 0.0012426609473880784, 0.026532189526576124,
+         0.29656057182850487, 1.7848265399172913, 5.463784911164114, 6.657904643501103),
+        (2.0442631033899397e-15, 1.421511758316446e-07, 1.8463183175100548e-05, 0.0007868691311456133,
+         0.014875361290850615, 0.1369298809227358, 0.599832206555888, 1.0),
+    ),
+}

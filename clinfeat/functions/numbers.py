@@ -5,7 +5,7 @@ from operator import add
 
 from pyspark.sql import Column, functions as F
 
-from clinfeat.codes.values import AGE_BANDS, AGE_FLOOR
+from clinfeat.codes.values import AGE_BANDS, AGE_FLOOR, NORMAL_QUANTILE
 
 
 def round_half_away(x: Column, digits: int) -> Column:
@@ -65,3 +65,22 @@ def histogram_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
         F.width_bucket(x.cast("double"), lo.cast("double"), hi.cast("double"), F.lit(bins))
     )
     return F.when((x >= lo) & (x <= hi), inside)
+
+
+def _ratio(kind: str, r: Column) -> Column:
+    sides = []
+    for coefficients in NORMAL_QUANTILE[kind]:
+        total = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            total = total * r + F.lit(c)
+        sides.append(total)
+    return sides[0] / sides[1]
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the standard normal distribution to about 16 digits; null outside (0, 1)."""
+    q = p - 0.5
+    tail = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    outer = F.when(tail <= 5.0, _ratio("near", tail - 1.6)).otherwise(_ratio("far", tail - 5.0))
+    inner = _ratio("central", F.lit(0.180625) - q * q) * q
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.signum(q) * outer))

@@ -5,9 +5,10 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinfeat.functions.numbers import histogram_bin, non_null_count
-from clinfeat.operators.ordered import exact_quantiles, hash_order, null_safe_join
+from clinfeat.functions.numbers import histogram_bin, non_null_count, normal_quantile
+from clinfeat.operators.ordered import exact_quantiles, hash_order, null_safe_join, running_totals
 
+PLACES = 10_000  # of equal values that one task makes at a time
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -125,6 +126,43 @@ def normal_quantiles(df: DataFrame, value: str, points: int = 99) -> DataFrame:
     return sample.select(F.inline(F.array(*rows)))
 
 
+def probability_plot(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(group, value, position, n, normal): every value at its place in the order beside the median of that order statistic.
+
+    Medians of the uniform order statistics of n values as Filliben gives them, through the normal quantile. Equal values
+    take consecutive places. Values that are null or NaN are left out. Places of very many equal values are made in blocks.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    per_value = df.select(*by, v.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    placed = running_totals(per_value, list(by), "_v", ["_n"])
+    sizes = per_value.groupBy(*by).agg(F.sum("_n").alias("n"))
+    if by:
+        placed = null_safe_join(placed, sizes, list(by))
+    else:
+        placed = placed.withColumn("n", sizes.select("n").scalar())
+    blocks = placed.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PLACES))))
+    start = F.col("cum__n") - F.col("_n") + F.col("_block") * PLACES + 1
+    each = blocks.repartition(*by, "_v", "_block").withColumn(
+        "position", F.explode(F.sequence(start, F.least(F.col("cum__n"), start + (PLACES - 1))))
+    )
+    i, n = F.col("position"), F.col("n")
+    last = F.pow(F.lit(0.5), F.lit(1.0) / n)
+    p = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
+    return each.select(*by, F.col("_v").alias(value), "position", "n", normal_quantile(p).alias("normal"))
+
+
+def probability_line(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(group, n, slope, intercept, r) of the least-squares line through the probability plot; one pass over its points.
+
+    Null where the values are all equal or there is one.
+    """
+    x, y = F.col("normal"), F.col(value)
+    return probability_plot(df, value, by).groupBy(*by).agg(
+        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.try_divide(F.covar_pop(y, x), F.sqrt(F.var_pop(y) * F.var_pop(x))).alias("r"),
+    )
+
+
 def density(df: DataFrame, value: str, lo: float, hi: float, bandwidth: float,
             points: int = 50, bins: int = 500, by: list[str] = ()) -> DataFrame:
     """Gaussian density on a grid, from a binned count table.

@@ -9,6 +9,7 @@ from clinfeat.functions import numbers, text, time
 from clinfeat.operators import cohort, encounters, features, measures, meds, prep, profile
 from clinfeat.plans import dataset as plans
 from clinfeat.sources import files, stages
+from clinfeat.sources.graph import StageGraph
 from clinfeat.sources.retail import (
     Retail, TEST_DICTIONARY, TEST_HEIGHTS, TEST_LABS, TEST_PATTERN, TEST_SPELLINGS, TEST_UNNAMED, TEST_VITALS,
     TEST_WEIGHTS,
@@ -121,6 +122,29 @@ def stage_tables(r):
     return r.spark.table("clinfeat_first_stays")
 
 
+def stage_graph(r: Retail) -> StageGraph:
+    """The chain of stages from the tables to the numeric features."""
+    g, used = StageGraph(r.spark), codes(r)
+    for name, df in (("admissions", r.enc), ("patients", r.subj), ("diagnoses", r.diag), ("events", r.meas)):
+        g.source(name, df)
+    g.stage("stay_info", ["admissions", "patients", "diagnoses"], encounters.encounter_info)
+    g.stage("first_charts", ["events", "admissions"], lambda charts, stays: measures.first_charts(charts, stays, used.vitals, used.weights, used.heights))
+    g.stage("first_labs", ["events", "admissions"], lambda events, stays: measures.first_labs(events, stays, used.labs))
+    g.stage("vitals_joined", ["first_charts", "stay_info"], features.with_stay_facts)
+    g.stage("numeric_features", ["vitals_joined", "first_labs"], features.numeric_features)
+    return g
+
+
+@query
+def stage_chain(r):
+    """The chain is built, its base dropped with all that was made of it, and rebuilt in order."""
+    g = stage_graph(r)
+    g.refresh()
+    g.drop("stay_info", cascade=True)
+    wide = g.table("numeric_features")
+    return rounded(wide, mean_columns(wide))
+
+
 # Projections and filters
 
 @query
@@ -650,6 +674,12 @@ def normal_quantiles(r):
     return rounded(profile.normal_quantiles(r.table("events"), "value"), ["p", "normal", "sample"])
 
 
+@query
+def probability_line(r):
+    """The line through the normal probability plot of every kind of event."""
+    return rounded(profile.probability_line(r.table("events"), "value", ["event_type"]), ["slope", "intercept", "r"])
+
+
 @query
 def class_means(r):
     clock = time.clock_hours(F.col("start_ts"))

@@ -6,6 +6,7 @@ slices, so the two are independent.
 
 from clinfeat.codes.drugs import DRUG_CLASSES
 from clinfeat.codes.values import (
+    NORMAL_QUANTILE,
     AGE_BANDS, DRUG_FEATURES, DRUG_GROUPS, FOLDED_GROUPS, INFECTION_PREFIXES, ONEHOT_CATEGORIES,
     ONEHOT_FEATURES,
 )
@@ -379,6 +380,7 @@ KEPT_VITALS = [n for n in VITAL_NAMES if n not in ("glucose_min", "glucose_max")
 oracle("numeric_features", f"""
     SELECT subj_id, enc_id, start_ts, age, gender, weight, height, {', '.join(LABS)}, {rounded_list(KEPT_VITALS)}
     FROM numeric""", "numeric")
+ORACLES["stage_chain"] = ORACLES["numeric_features"]
 oracle("window_cohort_features", f"""
     SELECT v.subj_id, v.enc_id, {rounded_list(VITAL_NAMES)}, i.expire, i.age,
       CASE WHEN gender = 'M' THEN 1 ELSE 0 END AS gender, weight_first AS weight, height_first AS height
@@ -528,6 +530,29 @@ oracle("normal_quantiles", f"""
       SELECT unnest([{', '.join(repr(p) for p, _ in normal_rows())}]) AS p,
         unnest([{', '.join(repr(z) for _, z in normal_rows())}]) AS z,
         unnest(quantile_cont(value, [{', '.join(repr(p) for p, _ in normal_rows())}])) AS s FROM events)""")
+
+
+def polynomial(coefficients, x):
+    total = repr(coefficients[0])
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + {c!r})"
+    return total
+
+
+def normal_sql(kind, x):
+    num, den = NORMAL_QUANTILE[kind]
+    return f"({polynomial(num, x)} / {polynomial(den, x)})"
+
+
+oracle("probability_line", f"""
+    SELECT event_type, count(*) AS n, {r('regr_slope(value, z)', 'slope')}, {r('regr_intercept(value, z)', 'intercept')}, {r('corr(value, z)', 'r')}
+    FROM (SELECT *, CASE WHEN abs(p - 0.5) <= 0.425 THEN {normal_sql('central', '(0.180625 - (p - 0.5) * (p - 0.5))')} * (p - 0.5)
+        ELSE sign(p - 0.5) * CASE WHEN t <= 5 THEN {normal_sql('near', '(t - 1.6)')} ELSE {normal_sql('far', '(t - 5)')} END END AS z
+      FROM (SELECT *, sqrt(-ln(least(p, 1 - p))) AS t
+        FROM (SELECT *, CASE WHEN i = m THEN pow(0.5, 1.0::DOUBLE / m) WHEN i = 1 THEN 1 - pow(0.5, 1.0::DOUBLE / m)
+            ELSE (i - 0.3175::DOUBLE) / (m + 0.365::DOUBLE) END AS p
+          FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS m
+            FROM events WHERE value IS NOT NULL)))) GROUP BY event_type""")
 oracle("class_means", f"SELECT expire, {r('avg(' + CLOCK.format('start_ts') + ')', 'mean_clock')} FROM enc GROUP BY 1",
        "enc")
 oracle("density_grid", f"""
