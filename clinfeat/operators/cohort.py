@@ -54,6 +54,19 @@ def outcome_flag(info: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def coded_outcome(info: DataFrame, diag: DataFrame, micro: DataFrame | None = None, code_is=None,
+                  pattern: str = EVIDENCE_PATTERN) -> DataFrame:
+    """``outcome_flag`` from ids alone, without the rows of the evidence: stays with the outcome's code.
+
+    With ``micro`` lab evidence counts too, as it does where the evidence takes the lab side's ids.
+    """
+    is_outcome = (F.col("code") == OUTCOME_CODE) if code_is is None else code_is
+    ids = diag.filter(is_outcome).select("enc_id")
+    if micro is not None:
+        ids = ids.union(micro.filter(F.col("org_name").ilike(pattern) & F.col("subj_id").isNotNull()).select("enc_id"))
+    return outcome_flag(info, ids)
+
+
 def stay_gaps(info: DataFrame) -> DataFrame:
     """Days from the end of the first stay of the previous sequence number; NULL for the first.
 

@@ -70,13 +70,14 @@ def filled_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
-              lo: float | None = None, hi: float | None = None) -> DataFrame:
+              lo: float | None = None, hi: float | None = None, edges_of=None) -> DataFrame:
     """Counts per equal-width bin 1..bins, by class on shared edges.
 
-    Edges default to the range of the data. NULLs and values outside the edges are dropped.
+    Edges default to the range of the data, or of the class ``edges_of`` alone. NULLs and values outside the edges are dropped.
     """
     # both ends in one scan; repeated uses of the same scalar subquery run once
-    ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    ranged = df if edges_of is None else df.filter(F.col(by) == edges_of)
+    ends = ranged.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
     low = F.lit(float(lo)) if lo is not None else ends["lo"]
     high = F.lit(float(hi)) if hi is not None else ends["hi"]
     binned = df.withColumn("bin", histogram_bin(F.col(value), low, high, bins))

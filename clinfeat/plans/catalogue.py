@@ -409,8 +409,8 @@ def numeric_features(r):
 
 @query
 def window_cohort_features(r):
-    window = measures.vitals_window(r.meas, r.enc, TEST_VITALS)
     in_cohort = encounters.code_cohort(r.diag, r.enc)
+    window = measures.vitals_window(r.meas, r.enc.join(in_cohort, "enc_id", "left_semi"), TEST_VITALS)
     wide = features.window_cohort_features(window, in_cohort, info(r), weight(r), height(r))
     return rounded(wide, mean_columns(wide))
 
@@ -511,7 +511,7 @@ def evidence_all_ids(r):
 
 @query
 def outcome_exists(r):
-    return outcomes(r, staged_info(r))
+    return outcomes(r, info(r))
 
 
 @query
@@ -643,7 +643,8 @@ def frame_describe(r):
 
 @query
 def histogram_by_class(r):
-    return profile.histogram(r.table("lineitem"), "l_extendedprice", 10, by="l_returnflag")
+    """Every class on the edges of the first one."""
+    return profile.histogram(r.table("lineitem"), "l_extendedprice", 10, by="l_returnflag", edges_of="A")
 
 
 @query

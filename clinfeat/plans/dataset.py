@@ -46,8 +46,7 @@ def stay_info(src: Sources, staged: bool = False) -> DataFrame:
 
 
 def all_outcomes(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:
-    found = cohort.evidence(src.diagnoses, src.micro, info, codes.outcome_code(), codes.pattern)
-    return cohort.outcome_flag(info, found)
+    return cohort.coded_outcome(info, src.diagnoses, code_is=codes.outcome_code())
 
 
 def joined_features(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:

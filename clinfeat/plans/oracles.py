@@ -502,7 +502,8 @@ oracle("frame_describe", " UNION ALL ".join(
 oracle("histogram_by_class", """
     SELECT cast(least(floor((x - lo) / ((hi - lo) / 10)) + 1, 10) AS bigint) AS bin, l_returnflag, count(*) AS n
     FROM (SELECT l_extendedprice AS x, l_returnflag FROM lineitem),
-      (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY 1, 2""")
+      (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem WHERE l_returnflag = 'A')
+    WHERE x BETWEEN lo AND hi GROUP BY 1, 2""")
 oracle("histogram_fixed_edges", """
     SELECT cast(least(floor((l_quantity - 5) / 5.0) + 1, 7) AS bigint) AS bin, count(*) AS n
     FROM lineitem WHERE l_quantity BETWEEN 5 AND 40 GROUP BY 1""")

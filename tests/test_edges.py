@@ -126,6 +126,11 @@ def test_evidence_multiplies_and_lab_only_rows_lose_their_id(spark):
     assert flags == {11: True, 12: False, 13: True}
     joined = cohort.evidence(diag, micro, info, coalesce_ids=True)
     assert {r["enc_id"] for r in joined.collect()} == {11, 12, 13}
+    for lab, found in ((None, cohort.evidence(diag, micro, info)), (micro, joined)):
+        own = cohort.coded_outcome(info, diag, lab)
+        assert sorted(own.collect()) == sorted(cohort.outcome_flag(info, found).collect())
+        plan = own._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1  # the stays meet nothing but the ids
 
 
 def sessions_of(spark, gaps_days, los=1.0):
