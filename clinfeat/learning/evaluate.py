@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from clinfeat.codes.values import DRUG_FEATURES
 from clinfeat.functions.numbers import histogram_bin, percent
 from clinfeat.learning.models import LABEL, fit, fold, score
+from clinfeat.learning.monotone import smoothed_targets
 from clinfeat.operators.ordered import running_totals
 
 KINDS = {(1, 1): "true_pos", (0, 0): "true_neg", (0, 1): "false_pos", (1, 0): "false_neg"}
@@ -121,12 +122,12 @@ def calibration_curve(scored: DataFrame, label: str = LABEL, value: str = "score
 
 
 def recalibrate(held_out: DataFrame, label: str = LABEL, value: str = "score") -> PipelineModel:
-    """A sigmoid over the score, fitted on held-out rows."""
+    """A sigmoid over the score, fitted on held-out rows with smoothed targets, without penalty."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=[value], outputCol="_score_vector"),
-        LogisticRegression(featuresCol="_score_vector", labelCol=label, probabilityCol="_p",
+        LogisticRegression(featuresCol="_score_vector", labelCol="target", weightCol="weight", probabilityCol="_p",
                            rawPredictionCol="_raw", predictionCol="_prediction"),
-    ]).fit(held_out)
+    ]).fit(smoothed_targets(held_out.select(label, value), label))
 
 
 def calibrated(model: PipelineModel, scored: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Queries over a fixed score column have an oracle; those that fit a model do not.
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES
-from clinfeat.learning import evaluate, models, trees
+from clinfeat.learning import evaluate, models, monotone, trees
 from clinfeat.operators import meds
 from clinfeat.plans import dataset as plans
 from clinfeat.plans.catalogue import (
@@ -56,6 +56,12 @@ def calibration(r):
     return rounded(evaluate.calibration_curve(scored_stays(r)), ["mean_score", "event_rate"])
 
 
+@query
+def monotone_steps(r):
+    """Event rates of score ranges, pooled until they rise."""
+    return rounded(monotone.monotone_steps(scored_stays(r), bins=100), ["rate"])
+
+
 @query
 def slice_rmse(r):
     scored = scored_stays(r).filter(F.col("score") < 0.25)

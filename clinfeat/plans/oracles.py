@@ -665,6 +665,9 @@ oracle("oof_report", " UNION ALL ".join(f"""
     FROM (SELECT count(*) FILTER (outcome = {c} AND prediction = {c}) AS hit, count(*) FILTER (prediction = {c}) AS said,
       count(*) FILTER (outcome = {c}) AS support, avg(CASE WHEN outcome = prediction THEN 1 ELSE 0 END) AS accuracy
       FROM stay_scores)""" for c in (0, 1)), "stay_scores")
+VIEWS["binned"] = (["stay_scores"], """
+    SELECT *, sum(n) OVER (ORDER BY bin) AS cum_n, sum(events) OVER (ORDER BY bin) AS cum_events
+    FROM (SELECT cast(least(floor(score * 100) + 1, 100) AS bigint) AS bin, count(*) AS n, sum(outcome) AS events FROM stay_scores GROUP BY 1)""")
 VIEWS["roc"] = (["stay_scores"], """
     SELECT score AS threshold, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS cum_pos,
       sum(neg) OVER (ORDER BY score DESC) AS cum_neg, sum(pos) OVER () AS p, sum(neg) OVER () AS q
@@ -695,3 +698,12 @@ oracle("what_if", f"""
       printf('%.1f%%', probability * 100) AS shown
     FROM (SELECT enc_id, drug, round(1 / (1 + exp(-((enc_id % 17) / 10.0 - 1.0 + effect))), 6) AS probability
       FROM enc, ({EFFECTS}))""", "enc")
+
+# The rate of a bin is the largest, over ranges that end at or after it, of the smallest rate of ranges that begin at or before it.
+oracle("monotone_steps", f"""
+    SELECT min(bin) AS low, max(bin) AS high, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events, {r('rate', 'rate')} FROM (
+      SELECT b.bin, b.n, b.events, max(m) AS rate FROM (
+        SELECT b.bin, a.bin AS a,
+          min((c.cum_events - a.cum_events + a.events)::DOUBLE / (c.cum_n - a.cum_n + a.n)) AS m
+        FROM binned b JOIN binned a ON a.bin <= b.bin JOIN binned c ON c.bin >= b.bin GROUP BY b.bin, a.bin) JOIN binned b USING (bin)
+      GROUP BY b.bin, b.n, b.events) GROUP BY rate""", "binned")
