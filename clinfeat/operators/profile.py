@@ -187,6 +187,47 @@ def density(df: DataFrame, value: str, lo: float, hi: float, bandwidth: float,
     )
 
 
+def kernel_density(df: DataFrame, value: str, by: list[str] = (), points: int = 100, cut: float = 3.0,
+                   per_width: int = 512, reach: float = 8.0) -> DataFrame:
+    """(group, x, density): Gaussian density at ``points`` places from the data, with the bandwidth of Scott's rule.
+
+    The bandwidth is the sample deviation times n ** -0.2; the places go from ``cut`` bandwidths below the least value to as many above
+    the largest. Each value is shared out linearly to the two nearest of ``per_width`` bins a bandwidth, and a bin counts at the
+    places within ``reach`` bandwidths. Both departures from the direct sum together stay below a millionth of 1 / bandwidth. The work after the one
+    pass over the rows grows with the occupied bins. Null and NaN are left out, as are groups whose values are all equal.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, v.alias("_v")).where("_v IS NOT NULL")
+    stats = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.stddev_samp("_v").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    width = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
+    stats = stats.where(F.col("_s") > 0).select(
+        *by, "_n", width.alias("_h"), (F.col("_lo") - cut * width).alias("_from"), ((F.col("_hi") - F.col("_lo") + 2 * cut * width) / (points - 1)).alias("_step")
+    )
+
+    def with_stats(frame):
+        return null_safe_join(frame, stats, list(by)) if by else frame.crossJoin(F.broadcast(stats))  # one row
+
+    place = (F.col("_v") - F.col("_from")) / F.col("_h") * per_width
+    binned = with_stats(rows).select(*by, place.alias("_at")).withColumn("_bin", F.floor("_at")).select(
+        *by, F.inline(F.array(
+            F.struct(F.col("_bin").alias("_bin"), (1 - (F.col("_at") - F.col("_bin"))).alias("_w")),
+            F.struct((F.col("_bin") + 1).alias("_bin"), (F.col("_at") - F.col("_bin")).alias("_w")),
+        ))
+    ).groupBy(*by, "_bin").agg(F.sum("_w").alias("_w"))
+    offset = F.col("_bin") / per_width * F.col("_h")  # of the bin from the first place
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((offset - reach * F.col("_h")) / F.col("_step")))
+    last = F.least(F.lit(points - 1).cast("long"), F.floor((offset + reach * F.col("_h")) / F.col("_step")))
+    near = with_stats(binned).where(first <= last).withColumn("_i", F.explode(F.sequence(first, last)))
+    z = (F.col("_i") * F.col("_step") - offset) / F.col("_h")
+    sums = near.groupBy(*by, "_i").agg(F.sum(F.col("_w") * F.exp(z * z * F.lit(-0.5))).alias("_k"))
+    grid = stats.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    joined = null_safe_join(grid, sums, [*by, "_i"], "left")
+    return joined.select(
+        *by, (F.col("_from") + F.col("_i") * F.col("_step")).alias("x"),
+        (F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+    )
+
+
 def arg_max(df: DataFrame, column: str) -> DataFrame:
     """Rows with the highest value, ties kept."""
     return df.filter(F.col(column) == df.agg(F.max(column)).scalar())

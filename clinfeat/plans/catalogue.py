@@ -687,6 +687,12 @@ def class_means(r):
     return r.enc.groupBy("expire").agg(F.round(F.avg(clock), 6).alias("mean_clock"))
 
 
+@query
+def density_scott(r):
+    """Density of the values of every kind of event, bandwidth and range from the data."""
+    return rounded(profile.kernel_density(r.table("events"), "value", ["event_type"], points=40), ["x", "density"])
+
+
 @query
 def density_grid(r):
     out = profile.density(r.table("events"), "value", 0.0, 50.0, 2.0, points=26, bins=100, by=["event_type"])

@@ -556,6 +556,16 @@ oracle("probability_line", f"""
             FROM events WHERE value IS NOT NULL)))) GROUP BY event_type""")
 oracle("class_means", f"SELECT expire, {r('avg(' + CLOCK.format('start_ts') + ')', 'mean_clock')} FROM enc GROUP BY 1",
        "enc")
+oracle("density_scott", f"""
+    WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS lo, max(value) AS hi
+      FROM events WHERE value IS NOT NULL GROUP BY 1),
+    b AS (SELECT e.event_type, value - lo + 3 * h AS far, h FROM events e JOIN s USING (event_type) WHERE value IS NOT NULL),
+    w AS (SELECT event_type, g, sum(w) AS w FROM (
+        SELECT event_type, floor(far / h * 512) AS g, 1 - (far / h * 512 - floor(far / h * 512)) AS w FROM b
+        UNION ALL SELECT event_type, floor(far / h * 512) + 1, far / h * 512 - floor(far / h * 512) FROM b) GROUP BY 1, 2),
+    p AS (SELECT event_type, n, h, i, lo - 3 * h AS low, (hi - lo + 6 * h) / 39 AS step FROM s, range(40) t(i))
+    SELECT event_type, {r('low + i * step', 'x')}, {r('coalesce(sum(w * exp(-0.5 * pow(i * step / h - g / 512, 2))), 0) / (n * h * sqrt(2 * pi()))', 'density')}
+    FROM p JOIN w USING (event_type) GROUP BY event_type, n, h, i, low, step""")
 oracle("density_grid", f"""
     SELECT event_type, {r('x', 'x')}, {r('sum(n * exp(-0.5 * ((x - c) / 2.0) * ((x - c) / 2.0))) / (sum(n) * 2.0 * sqrt(2 * pi()))', 'density')}
     FROM (SELECT event_type, (least(floor(value / 0.5), 99) + 0.5) * 0.5 AS c, count(*) AS n FROM events
