@@ -10,6 +10,7 @@ from clinfeat.codes.values import DRUG_FEATURES
 from clinfeat.functions.numbers import histogram_bin, percent
 from clinfeat.learning.models import LABEL, fit, fold, score
 from clinfeat.learning.monotone import smoothed_targets
+from clinfeat.learning.newton import grouped_auc
 from clinfeat.operators.ordered import running_totals
 
 KINDS = {(1, 1): "true_pos", (0, 0): "true_neg", (0, 1): "false_pos", (1, 0): "false_neg"}
@@ -91,6 +92,33 @@ def roc_auc(scored: DataFrame, label: str = LABEL, value: str = "score") -> Data
     )
 
 
+def one_against_rest(scored: DataFrame, scores: list[str], label: str = LABEL) -> DataFrame:
+    """(class, label, score): a row for each class, whose label is 1 where the row is of the class; ``scores``: the column of each class."""
+    cells = [
+        F.struct(F.lit(k).alias("class"), (F.col(label) == k).cast("int").alias("label"), F.col(f"`{c}`").cast("double").alias("score"))
+        for k, c in enumerate(scores)
+    ]
+    return scored.where(F.col(label).isNotNull()).select(F.inline(F.array(*cells))).where("score IS NOT NULL")
+
+
+def class_roc(scored: DataFrame, scores: list[str], label: str = LABEL) -> DataFrame:
+    """(class, threshold, fpr, tpr, pos, neg, cum_pos, cum_neg): the curve of each class against the rest, all in one pass over the rows."""
+    counts = one_against_rest(scored, scores, label).groupBy("class", (-F.col("score")).alias("_neg")).agg(
+        F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
+    )
+    run = running_totals(counts, ["class"], "_neg", ["pos", "neg"])
+    totals = counts.groupBy("class").agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
+    return run.join(F.broadcast(totals), "class").select(  # a row a class
+        "class", (-F.col("_neg")).alias("threshold"), F.try_divide(F.col("cum_neg"), F.col("n")).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.col("p")).alias("tpr"), "pos", "neg", "cum_pos", "cum_neg",
+    )
+
+
+def class_auc(scored: DataFrame, scores: list[str], label: str = LABEL) -> DataFrame:
+    """(class, auc) of each class against the rest."""
+    return grouped_auc(one_against_rest(scored, scores, label), ["class"])
+
+
 def quadrant(label: Column, predicted: Column) -> Column:
     kind = F.lit(None).cast("string")
     for (y, p), name in KINDS.items():

@@ -84,6 +84,22 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "_weight")
 
 
+def fit_classes(df: DataFrame, features: list[str], **params) -> PipelineModel:
+    """A multinomial logistic model of the classes 0, 1, ... with balanced classes and the penalty of ``fit``."""
+    stage = LogisticRegression(labelCol=LABEL, weightCol="_weight", family="multinomial", **{
+        "standardization": False, "maxIter": 500, "tol": 1e-9, "regParam": 1.0 / max(1, df.count()), **params,
+    })
+    return Pipeline(stages=[assembler(features), stage]).fit(with_class_weights(df))
+
+
+def score_classes(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` and the probability of each class as ``score0``, ``score1``, ..."""
+    classes = model.stages[-1].numClasses
+    out = model.transform(df).withColumn("_p", vector_to_array("probability"))
+    out = out.withColumns({f"score{k}": F.col("_p")[k] for k in range(classes)}).withColumn("prediction", F.col("prediction").cast("int"))
+    return out.drop("features", "rawPrediction", "probability", "_p", "_weight")
+
+
 def fold(id_col: str, folds: int, seed: int = SEED):
     """Repeatable fold number of a row."""
     h = F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long")

@@ -6,6 +6,7 @@ Queries over a fixed score column have an oracle; those that fit a model do not.
 from pyspark.sql import DataFrame, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES
+from clinfeat.functions.numbers import combined_label
 from clinfeat.learning import evaluate, models, monotone, trees
 from clinfeat.operators import meds
 from clinfeat.plans import dataset as plans
@@ -56,6 +57,45 @@ def calibration(r):
     return rounded(evaluate.calibration_curve(scored_stays(r)), ["mean_score", "event_rate"])
 
 
+CLASS_SCORES = [f"score{k}" for k in range(4)]
+
+
+def class_scored_stays(r: Retail) -> DataFrame:
+    """Every stay with one of four classes, a fixed score for each class, and the class of the highest one."""
+    label = combined_label((F.col("enc_id") % 3 == 0).cast("int"), F.col("expire")).cast("int")
+    rows = r.enc.select("enc_id", label.alias("outcome")).withColumns({
+        c: F.round(F.pmod(F.col("enc_id") * (7919 + 101 * k), F.lit(211)) / F.lit(211.0) + F.when(F.col("outcome") == k, 0.4).otherwise(0.0), 4)
+        for k, c in enumerate(CLASS_SCORES)
+    })
+    highest = F.array_max(F.array(*[F.struct(F.col(c).alias("s"), F.lit(-k).alias("k")) for k, c in enumerate(CLASS_SCORES)]))
+    return rows.withColumn("prediction", -highest["k"])
+
+
+@query
+def class_report(r):
+    report = evaluate.classification_report(class_scored_stays(r), classes=(0, 1, 2, 3))
+    return rounded(report, ["precision", "recall", "f1", "accuracy"])
+
+
+@query
+def class_roc(r):
+    points = evaluate.class_roc(class_scored_stays(r), CLASS_SCORES)
+    return rounded(points.select("class", "threshold", "fpr", "tpr", "cum_pos", "cum_neg"), ["threshold", "fpr", "tpr"])
+
+
+@query
+def class_auc(r):
+    return rounded(evaluate.class_auc(class_scored_stays(r), CLASS_SCORES), ["auc"])
+
+
+@query
+def fit_four_classes(r):
+    """Four classes (outcome and death): prepared, fitted with balanced classes, the held-out rows scored."""
+    p = plans.prepare(staged_dataset(r), TEST_FEATURES, four_classes=True)
+    scored = models.score_classes(models.fit_classes(p.train, p.features), p.test)
+    return scored.select("enc_id", "outcome", "prediction", *[F.round(c, 6).alias(c) for c in CLASS_SCORES])
+
+
 @query
 def monotone_steps(r):
     """Event rates of score ranges, pooled until they rise."""
@@ -89,14 +129,20 @@ def prepared(r: Retail, strategy: str = "median") -> plans.Prepared:
     """Model input with drug flags. The written stages are shared by the queries of a session."""
     key = (r.spark.sparkContext.applicationId, r.folder, strategy)
     if key not in STAGED:
-        src, used = sources(r), codes(r)
-        info = staged_info(r)
-        dataset = stages.materialize(plans.build_dataset(src, used, info), "dataset")
-        flags = plans.drug_features(src, used, dataset, info)
+        dataset = staged_dataset(r)
+        flags = plans.drug_features(sources(r), codes(r), dataset, staged_info(r))
         STAGED[key] = plans.prepare(dataset, TEST_FEATURES, flags, strategy=strategy)
     return STAGED[key]
 
 
+def staged_dataset(r: Retail) -> DataFrame:
+    """The labelled dataset, written once a session."""
+    key = (r.spark.sparkContext.applicationId, r.folder)
+    if key not in STAGED:
+        STAGED[key] = stages.materialize(plans.build_dataset(sources(r), codes(r), staged_info(r)), "dataset")
+    return STAGED[key]
+
+
 @query
 def prepared_rows(r):
     p = prepared(r, "nearest")

@@ -717,3 +717,24 @@ oracle("monotone_steps", f"""
           min((c.cum_events - a.cum_events + a.events)::DOUBLE / (c.cum_n - a.cum_n + a.n)) AS m
         FROM binned b JOIN binned a ON a.bin <= b.bin JOIN binned c ON c.bin >= b.bin GROUP BY b.bin, a.bin) JOIN binned b USING (bin)
       GROUP BY b.bin, b.n, b.events) GROUP BY rate""", "binned")
+
+# Four classes with a fixed score for each
+VIEWS["class_scores"] = (["enc"], """
+    SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 AND s0 >= s3 THEN 0 WHEN s1 >= s2 AND s1 >= s3 THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END AS prediction FROM (
+      SELECT enc_id, outcome, """ + ", ".join(
+    f"round((enc_id * {7919 + 101 * k}) % 211 / 211.0 + CASE WHEN outcome = {k} THEN 0.4 ELSE 0 END, 4) AS s{k}" for k in range(4)
+) + """ FROM (SELECT enc_id, CASE WHEN enc_id % 3 = 0 THEN 1 ELSE 0 END + 2 * expire AS outcome FROM enc))""")
+VIEWS["against_rest"] = (["class_scores"], " UNION ALL ".join(
+    f"SELECT {k} AS class, s{k} AS threshold, sum((outcome = {k})::INT) AS pos, sum((outcome <> {k})::INT) AS neg FROM class_scores GROUP BY 2" for k in range(4)))
+VIEWS["class_curve"] = (["against_rest"], """
+    SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, sum(pos) OVER (PARTITION BY class) AS p, sum(neg) OVER (PARTITION BY class) AS n
+    FROM against_rest WINDOW w AS (PARTITION BY class ORDER BY threshold DESC)""")
+oracle("class_report", " UNION ALL ".join(f"""
+    SELECT {k} AS class, {r('coalesce(hit / nullif(said, 0), 0)', 'precision')}, {r('coalesce(hit / nullif(support, 0), 0)', 'recall')},
+      {r('coalesce(2.0 * hit / nullif(said + support, 0), 0)', 'f1')}, support, said - hit AS false_alarms, support - hit AS misses, {r('accuracy', 'accuracy')}
+    FROM (SELECT count(*) FILTER (outcome = {k} AND prediction = {k}) AS hit, count(*) FILTER (prediction = {k}) AS said,
+      count(*) FILTER (outcome = {k}) AS support, avg((outcome = prediction)::INT) AS accuracy FROM class_scores)""" for k in range(4)), "class_scores")
+oracle("class_roc", f"""
+    SELECT class, {r('threshold', 'threshold')}, {r('cum_neg / nullif(n, 0)', 'fpr')}, {r('cum_pos / nullif(p, 0)', 'tpr')}, cum_pos, cum_neg FROM class_curve""", "class_curve")
+oracle("class_auc", f"""
+    SELECT class, {r('sum(neg * (cum_pos - pos) + neg * pos / 2.0) / nullif(any_value(p) * any_value(n), 0)', 'auc')} FROM class_curve GROUP BY class""", "class_curve")
