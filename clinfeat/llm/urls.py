@@ -26,6 +26,7 @@ RULES = [
     ("net/fr/", "block"),
 ]
 
+FOLDS = 5  # of the labelled URLs, for the statistics that the trees learn from
 FEATURES = [
     "url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_chars", "has_fragment",
     "hyphens", "dots_in_path", "suffix_rate", "suffix_count", "domain_rate", "domain_count",
@@ -70,39 +71,50 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame], folded: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rate and count of each row's suffix and domain among the labelled URLs; with ``folded``, the sums of each ``_fold``, among the other folds."""
     for name, table in tables.items():
         rows = rows.join(table, f"_{name}", "left")
-        rows = rows.fillna({f"{name}_rate": 0.5, f"{name}_count": 0.0})
+        blocked, n = F.coalesce(f"_{name}_blocked", F.lit(0)), F.coalesce(f"_{name}_n", F.lit(0))
+        if folded:
+            own = folded[name].withColumnsRenamed({f"_{name}_blocked": "_own_blocked", f"_{name}_n": "_own_n"})
+            rows = rows.join(own, [f"_{name}", "_fold"], "left")
+            blocked, n = blocked - F.coalesce("_own_blocked", F.lit(0)), n - F.coalesce("_own_n", F.lit(0))
+        rows = rows.withColumns({f"{name}_rate": (blocked + 1) / (n + 2), f"{name}_count": F.log1p(n.cast("double"))}).drop("_own_blocked", "_own_n")
     return rows
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_URLS):
     """(model, statistics) from rows with _url, _host, _path and _label 0 or 1; or (None, the only label), (None, 0) without rows.
 
-    The statistics count all rows. The trees are fitted on about ``sample`` rows, chosen by a hash of the URL and, where there is
+    The statistics count all rows; the trees learn from those of the other ``FOLDS`` - 1 folds, so no row's label is in its own. They are fitted on about ``sample`` rows, chosen by a hash of the URL and, where there is
     one, ``_id``.
     """
+    key = [c for c in ("_id", "_url") if c in labelled.columns]
+    labelled = labelled.withColumn("_fold", F.pmod(F.xxhash64(*key, F.lit(4)), F.lit(FOLDS)))
     counted = cut(
-        labelled.groupBy(F.substring_index("_host", ".", -2).alias("_domain"))
+        labelled.groupBy(F.substring_index("_host", ".", -2).alias("_domain"), "_fold")
         .agg(F.sum("_label").alias("blocked"), F.count("*").alias("n")).withColumn("_suffix", F.substring_index("_domain", ".", -1))
     )
     total = counted.agg(F.sum("n")).first()[0] or 0
-    key = [c for c in ("_id", "_url") if c in labelled.columns]
     chance = F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = lexical(labelled.where(chance < min(1.0, sample / max(1, total)))).persist()
     kinds = sorted(r["_label"] for r in chosen.select("_label").distinct().collect())  # two at most
     if len(kinds) < 2:
+        chosen.unpersist()
         return None, (kinds or [0])[0]
-    tables = {
-        name: counted.groupBy(f"_{name}").agg(
-            ((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(f"{name}_rate"), F.log1p(F.sum("n")).alias(f"{name}_count")
-        ) for name in ("suffix", "domain")
-    }
+    def sums(name: str, *by: str) -> DataFrame:
+        return counted.groupBy(f"_{name}", *by).agg(F.sum("blocked").alias(f"_{name}_blocked"), F.sum("n").alias(f"_{name}_n"))
+
+    tables = {name: sums(name) for name in ("suffix", "domain")}
+    folded = {name: sums(name, "_fold") for name in tables}
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    rows = assembler.transform(_with_statistics(chosen, tables)).select("_features", F.col("_label").cast("double").alias("_label"))
+    rows = assembler.transform(_with_statistics(chosen, tables, folded))
+    rows = rows.select("_features", F.col("_label").cast("double").alias("_label")).repartition(2).persist()
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, seed=1)
-    model = trees.fit(rows.repartition(2).persist())
+    model = trees.fit(rows)
+    for used in (rows, chosen):
+        used.unpersist()
     return model, tables
 
 

@@ -120,9 +120,9 @@ def test_url_statistics_count_all_labelled_urls(spark):
     host, path = urls.parts(F.col("_url"))
     df = spark.createDataFrame(rows, "_id long, _url string").withColumns({"_host": host, "_path": path, "_label": F.col("_url").contains("/es/").cast("int")})
     _, tables = urls.fit(df, sample=100)
-    got = {r._domain: (r.domain_rate, r.domain_count) for r in tables["domain"].collect()}
+    got = {r._domain: ((r._domain_blocked + 1) / (r._domain_n + 2), math.log1p(r._domain_n)) for r in tables["domain"].collect()}
     assert len(got) == 301 and got["hot.com"] == (1 / 152, math.log1p(150)) and got["h7.net"] == (2 / 3, math.log1p(1))
-    assert {r._suffix: r.suffix_rate for r in tables["suffix"].collect()} == {"net": 151 / 302, "com": 1 / 152}
+    assert {r._suffix: (r._suffix_blocked + 1) / (r._suffix_n + 2) for r in tables["suffix"].collect()} == {"net": 151 / 302, "com": 1 / 152}
 
 
 @pytest.mark.parametrize("hot", range(4))
@@ -177,6 +177,43 @@ def test_license_scan(spark, documents):
     assert planted.count() == found.count() == planted.join(found, ["doc_id", "paragraph"]).count() > 0
 
 
+def held_out_share(spark, monkeypatch, features):
+    """Share of the URLs decided by a rule, but kept from the trees and the statistics, that the trees judge as the rule does."""
+    monkeypatch.setattr(urls, "FEATURES", features)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = urls.parts(F.col("url"))
+    rule, verdict = urls.matched(host, path, urls.RULES)
+    rows = pages.select(
+        F.col("page_id").cast("string").alias("_id"), F.col("url").alias("_url"), host.alias("_host"), path.alias("_path"), (verdict == "block").cast("int").alias("_label")
+    ).where("_label IS NOT NULL").withColumn("held", F.crc32(F.col("_id")) % 4 == 2)
+    model, tables = urls.fit(rows.where("NOT held"))
+    from pyspark.ml.feature import VectorAssembler
+
+    asked = urls._with_statistics(urls.lexical(rows.where("held")), tables)
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="_features").transform(asked))
+    found = scored.agg(F.avg((F.col("prediction") == F.col("_label")).cast("double")), F.avg(F.col("_label").cast("double")), F.count("*")).first()
+    print(features[-1], found)
+    return found[0], max(found[1], 1 - found[1])
+
+
+def test_held_out_urls_with_and_without_the_labels_statistics(spark, monkeypatch):
+    """The trees do better than the commoner verdict, also by the text of the URL alone."""
+    rates = {"suffix_rate", "suffix_count", "domain_rate", "domain_count"}
+    full, plain = list(urls.FEATURES), [x for x in urls.FEATURES if x not in rates]
+    assert len(full) == len(plain) + 4
+    for features in (full, plain):
+        share, commoner = held_out_share(spark, monkeypatch, features)
+        assert share > commoner
+
+
+def test_rows_do_not_count_their_fold(spark):
+    table = {"suffix": spark.createDataFrame([("com", 3, 5)], "_suffix string, _suffix_blocked long, _suffix_n long")}
+    folded = {"suffix": spark.createDataFrame([("com", 0, 2, 3)], "_suffix string, _fold long, _suffix_blocked long, _suffix_n long")}
+    rows = spark.createDataFrame([("com", 0), ("com", 1), ("org", 1)], "_suffix string, _fold long")
+    found = {(r._suffix, r._fold): (r.suffix_rate, r.suffix_count) for r in urls._with_statistics(rows, table, folded).collect()}
+    assert found == {("com", 0): (2 / 4, pytest.approx(math.log1p(2))), ("com", 1): (4 / 7, pytest.approx(math.log1p(5))), ("org", 1): (0.5, 0.0)}
+
+
 def article(page):
     """The marked content of a generated page, read plainly."""
     import re
