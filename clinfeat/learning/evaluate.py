@@ -10,7 +10,7 @@ from clinfeat.codes.values import DRUG_FEATURES
 from clinfeat.functions.numbers import histogram_bin, percent
 from clinfeat.learning.models import LABEL, fit, fold, score
 from clinfeat.learning.monotone import smoothed_targets
-from clinfeat.learning.newton import grouped_auc
+from clinfeat.learning.newton import Fit, Rows, grouped_auc
 from clinfeat.operators.ordered import running_totals
 
 KINDS = {(1, 1): "true_pos", (0, 0): "true_neg", (0, 1): "false_pos", (1, 0): "false_neg"}
@@ -18,8 +18,13 @@ KINDS = {(1, 1): "true_pos", (0, 0): "true_neg", (0, 1): "false_pos", (1, 0): "f
 
 def out_of_fold(df: DataFrame, features: list[str], model: str = "logistic", folds: int = 5,
                 **params) -> DataFrame:
-    """Every row scored by a model that was fitted without its fold."""
+    """Every row scored by a model that was fitted without its fold. Plain logistic models are fitted together (``newton``)."""
     folded = df.withColumn("_fold", fold("enc_id", folds))
+    if together(df, model, params):
+        rows = Rows(folded.withColumns(without_gaps(features)), features, LABEL, F.col("_fold"))
+        fits = [Fit(tuple(range(len(features))), k) for k in range(folds)]
+        rows.solve(fits)
+        return with_scores(folded, features, fits)
     parts = []
     for k in range(folds):
         fitted = fit(folded.filter(F.col("_fold") != k), features, model, **params)
@@ -30,6 +35,36 @@ def out_of_fold(df: DataFrame, features: list[str], model: str = "logistic", fol
     return out
 
 
+def together(df: DataFrame, model: str, params: dict) -> bool:
+    """Can the fits be solved in one pass for each step: a plain logistic model of the labels 0 and 1?"""
+    if model != "logistic" or params:
+        return False
+    labels = df.where(F.col(LABEL).isNotNull()).agg(F.count_distinct(LABEL).alias("n"), F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
+    return (labels["n"], labels["low"], labels["high"]) == (2, 0, 1)
+
+
+def without_gaps(features: list[str]) -> dict[str, Column]:
+    """The features as doubles; a missing one fails, as it does in a fit."""
+    def checked(c):
+        v = F.col(f"`{c}`").cast("double")
+        return F.when(v.isNull() | F.isnan(v), F.raise_error(f"{c} has missing values").cast("double")).otherwise(v)
+
+    return {c: checked(c) for c in features}
+
+
+def with_scores(folded: DataFrame, features: list[str], fits: list[Fit]) -> DataFrame:
+    """Add ``prediction`` and ``score`` of the fit that leaves out the row's ``_fold``; ``fits``: one a fold, in order."""
+    def own(i):
+        return F.element_at(F.array(*[F.lit(float(f.beta[i])) for f in fits]), F.col("_fold") + 1)
+
+    cells = without_gaps(features)
+    products = [cells[c] * own(i) for i, c in enumerate(features)] + [own(len(features))]
+    z = F.aggregate(F.array(*products), F.lit(0.0), lambda a, v: a + v)
+    return folded.withColumn("_z", z).withColumns({
+        "prediction": (F.col("_z") > 0).cast("double"), "score": F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))),
+    }).drop("_z")
+
+
 def confusion(scored: DataFrame, label: str = LABEL, predicted: str = "prediction") -> DataFrame:
     """Counts and row-normalised shares of (label, prediction)."""
     cells = scored.groupBy(label, F.col(predicted).cast("int").alias("predicted")).agg(
@@ -167,10 +202,21 @@ def learning_curve(df: DataFrame, features: list[str], model: str = "logistic",
                    shares=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, **params) -> DataFrame:
     """Accuracy on training and held-out rows for growing shares of the training rows.
 
-    A share is a prefix of the hash order, so larger shares contain the smaller ones.
+    A share is a prefix of the hash order, so larger shares contain the smaller ones. Plain logistic models of all shares and folds
+    are fitted together and scored in one pass (``newton``).
     """
     position = F.conv(F.substring(F.md5(F.col("enc_id").cast("string")), 1, 8), 16, 10).cast("double")
     folded = df.withColumn("_fold", fold("enc_id", folds)).withColumn("_at", position / F.lit(16.0 ** 8))
+    if together(df, model, params):
+        limits = [float(s) for s in shares]
+        rows = Rows(folded.withColumns(without_gaps(features)), features, LABEL, F.col("_fold"), position=F.col("_at"), shares=limits)
+        fits = [Fit(tuple(range(len(features))), k, share=s) for s in limits for k in range(folds)]
+        rows.solve(fits)
+        share_of = df.sparkSession.createDataFrame([(i, f.share) for i, f in enumerate(fits)], "fit int, share double")
+        accuracy = F.try_divide(F.col("right").cast("double"), F.col("n"))
+        return rows.hits(fits).join(F.broadcast(share_of), "fit").groupBy(  # two rows a fit
+            "share", F.when(F.col("held_out"), "held_out").otherwise("train").alias("part")
+        ).agg(F.avg(accuracy).alias("mean_accuracy"), F.stddev_pop(accuracy).alias("std_accuracy"))
     parts = []
     for share in shares:
         for k in range(folds):

@@ -25,7 +25,8 @@ _FAN = 64
 
 @dataclass
 class Fit:
-    """``held_out``: fold left out (-1: none). ``beta``: a coefficient for each of ``columns`` and the intercept, which has no penalty."""
+    """``held_out``: fold left out (-1: none). ``beta``: a coefficient for each of ``columns`` and the intercept, which has no penalty.
+    ``share``: of the rows of the other folds, those at a position below it."""
 
     columns: tuple
     held_out: int = -1
@@ -36,6 +37,7 @@ class Fit:
     curve: np.ndarray | None = field(default=None, repr=False)
     right: float = 0.0
     held: float = 0.0
+    share: float = 1.0
     _before: np.ndarray | None = field(default=None, repr=False)
 
     def __post_init__(self):
@@ -67,13 +69,13 @@ class Fit:
         beta = self.beta.copy()
         change = _solved(self.curve[np.ix_(keep, keep)], -(self.slope[keep] - self.curve[np.ix_(keep, ~keep)] @ self._before[~keep]))
         beta[keep] = self._before[keep] + change
-        return Fit(tuple(c for c, k in zip(self.columns, keep) if k), self.held_out, self.strength, beta[keep])
+        return Fit(tuple(c for c, k in zip(self.columns, keep) if k), self.held_out, self.strength, beta[keep], share=self.share)
 
     def at_strength(self, strength: float) -> "Fit":
         """The same rows and columns under another penalty, started by a step from this fit's sums."""
         more = np.append(np.full(len(self.columns), 1 / strength - 1 / self.strength), 0.0)
         step = _solved(self.curve + np.diag(more), -(self.slope + more * self._before))
-        return Fit(self.columns, self.held_out, strength, self._before + step)
+        return Fit(self.columns, self.held_out, strength, self._before + step, share=self.share)
 
 
 def _solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -87,40 +89,43 @@ class Rows:
     """Rows of (fold, label, features) that fits read; each pass is one scan.
 
     Labels are 0 and 1; rows without a label, a fold or a feature are left out. With ``balanced``, a class weighs n / (2 x its size)
-    among the rows of a fit.
+    among the rows of a fit. ``position`` (0 to below 1) is what the share of a fit is cut by; ``shares``: those that fits may have.
     """
 
-    def __init__(self, df: DataFrame, features: list[str], label: str, fold=None, balanced: bool = True):
+    def __init__(self, df: DataFrame, features: list[str], label: str, fold=None, balanced: bool = True, position=None, shares=(1.0,)):
         cells = [F.col(f"`{c}`").cast("double") for c in features]
         fold = F.lit(0) if fold is None else fold
-        rows = df.select(fold.cast("int").alias("fold"), F.col(label).cast("int").alias("label"), F.array(*cells).alias("x"))
+        rows = df.select(fold.cast("int").alias("fold"), F.col(label).cast("int").alias("label"), F.array(*cells).alias("x"), *([] if position is None else [F.coalesce(position.cast("double"), F.lit(float("inf"))).alias("at")]))
         known = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
         self.features = list(features)
         self.rows = materialize(rows.where(F.col("fold").isNotNull() & F.col("label").isin(0, 1) & known), "newton-rows")
-        counts = self.rows.groupBy("fold", "label").count().collect()
+        below = [F.count("*") if position is None else F.sum((F.col("at") < s).cast("long")) for s in shares]
+        counts = self.rows.groupBy("fold", "label").agg(*[n.alias(f"n{i}") for i, n in enumerate(below)]).collect()
         self.folds = sorted({r["fold"] for r in counts})
         self.weights = {}
-        for held in [-1, *self.folds]:
-            n = [sum(r["count"] for r in counts if r["label"] == y and r["fold"] != held) for y in (0, 1)]
-            self.weights[held] = tuple(sum(n) / (2 * x) if balanced and x else 1.0 for x in n)
+        for i, share in enumerate(shares):
+            for held in [-1, *self.folds]:
+                n = [sum(r[f"n{i}"] for r in counts if r["label"] == y and r["fold"] != held) for y in (0, 1)]
+                self.weights[held, share] = tuple(sum(n) / (2 * x) if balanced and x else 1.0 for x in n)
 
     def sums(self, fits: list[Fit]) -> list[np.ndarray]:
         """For each fit: loss, held-out rows that it gets right, held-out rows, slope, curvature (flat)."""
-        asked = [(f.columns, f.held_out, f.beta, self.weights[f.held_out]) for f in fits]
+        asked = [(f.columns, f.held_out, f.beta, self.weights.get((f.held_out, f.share), self.weights[-1, f.share]), f.share) for f in fits]
         width = len(self.features)
 
         def one(batches):
-            totals = [np.zeros(3 + len(b) + len(b) ** 2) for _, _, b, _ in asked]
+            totals = [np.zeros(3 + len(b) + len(b) ** 2) for _, _, b, *_ in asked]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = np.concatenate([batch.column("x").flatten().to_numpy().reshape(-1, width), np.ones((batch.num_rows, 1))], 1)
                 y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
-                for total, (columns, held, beta, weights) in zip(totals, asked):
+                at = batch.column("at").to_numpy() if "at" in batch.schema.names else np.zeros(batch.num_rows)
+                for total, (columns, held, beta, weights, share) in zip(totals, asked):
                     own = x[:, [*columns, width]]
                     z = own @ beta
                     out = fold == held
-                    weight = np.where(y == 1, weights[1], weights[0]) * ~out
+                    weight = np.where(y == 1, weights[1], weights[0]) * (~out & (at < share))
                     p = 0.5 * (1 + np.tanh(z / 2))
                     n = len(beta)
                     total[0] += (weight * (np.logaddexp(0, z) - y * z)).sum()
@@ -150,6 +155,27 @@ class Rows:
                 return
             open_ = [f for f, s in zip(open_, self.sums(open_)) if not f.take(s)]
 
+    def hits(self, fits: list[Fit]) -> DataFrame:
+        """(fit, held_out, right, n): of the rows of each fit and of those of the fold it leaves out, how many it gets right; one pass."""
+        asked, width = [(f.columns, f.held_out, f.beta, f.share) for f in fits], len(self.features)
+
+        def one(batches):
+            for batch in batches:
+                x = np.concatenate([batch.column("x").flatten().to_numpy().reshape(-1, width), np.ones((batch.num_rows, 1))], 1)
+                y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
+                at = batch.column("at").to_numpy() if "at" in batch.schema.names else np.zeros(batch.num_rows)
+                found = []
+                for k, (columns, held, beta, share) in enumerate(asked):
+                    right = (x[:, [*columns, width]] @ beta > 0) == (y == 1)
+                    for out, own in ((True, fold == held), (False, (fold != held) & (at < share))):
+                        found.append((k, out, int(right[own].sum()), int(own.sum())))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], ["fit", "held_out", "right", "n"]
+                )
+
+        found = self.rows.mapInArrow(one, "fit int, held_out boolean, right long, n long")
+        return found.groupBy("fit", "held_out").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+
     def scored(self, fits: list[Fit]) -> DataFrame:
         """(fit, fold, label, score): the rows that each fit leaves out (all rows where it leaves none), scored by it."""
         asked, width = [(f.columns, f.held_out, f.beta) for f in fits], len(self.features)
