@@ -1,5 +1,8 @@
 """Text, code and flag column expressions."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from clinfeat.codes.values import (
@@ -22,13 +25,26 @@ def numeric_prefix(code: Column, length: int = 3) -> Column:
 
 
 def condense(c: Column) -> Column:
-    """Fold free-text categories; the patterns are unanchored and the order matters."""
-    for pattern, value in CONDENSE_PATTERNS:
-        c = F.regexp_replace(c, pattern, value)
-    c = F.when(c.isin(UNKNOWN_CATEGORIES), "UNKNOWN").otherwise(c)
-    for pattern, value in CONDENSE_TAIL:
-        c = F.regexp_replace(c, pattern, value)
-    return c
+    """Fold free-text categories; the patterns are unanchored and the order matters.
+
+    A text is only put through patterns whose word it holds: a text search costs far less than a replacement. No earlier replacement
+    brings in the word of a later step.
+    """
+    def held(patterns):
+        return reduce(or_, [c.contains(pattern.replace(".*", "")) for pattern, _ in patterns])
+
+    def head(text):
+        for pattern, value in CONDENSE_PATTERNS:
+            text = F.regexp_replace(text, pattern, value)
+        return F.when(text.isin(UNKNOWN_CATEGORIES), "UNKNOWN").otherwise(text)
+
+    def tail(text):
+        for pattern, value in CONDENSE_TAIL:
+            text = F.regexp_replace(text, pattern, value)
+        return text
+
+    first, last = held(CONDENSE_PATTERNS) | c.isin(UNKNOWN_CATEGORIES), held(CONDENSE_TAIL)
+    return F.when(first & last, tail(head(c))).when(first, head(c)).when(last, tail(c)).otherwise(c)
 
 
 def is_value(c: Column, value) -> Column:

@@ -20,12 +20,13 @@ def encounter_info(adm: DataFrame, pat: DataFrame, diag: DataFrame) -> DataFrame
     joined = (
         adm.join(primary_codes(diag), "enc_id")
         .join(pat.select("subj_id", "gender", "dob"), "subj_id")
-        .withColumn("los_hospital", days_between(F.col("end_ts"), F.col("start_ts")))
-        .withColumn("age", age_years(F.col("start_ts"), F.col("dob")))
-        .drop("dob")
     )
+    # wide decimals are added after the last shuffle
     ranked = dense_rank_by_time(joined, "subj_id", "start_ts", "hospstay_seq")
-    return ranked.withColumn("first_hosp_stay", yes_no(F.col("hospstay_seq") == 1))
+    return ranked.select(
+        *[c for c in joined.columns if c != "dob"], days_between(F.col("end_ts"), F.col("start_ts")).alias("los_hospital"),
+        age_years(F.col("start_ts"), F.col("dob")).alias("age"), "hospstay_seq", yes_no(F.col("hospstay_seq") == 1).alias("first_hosp_stay"),
+    )
 
 
 def code_cohort(diag: DataFrame, adm: DataFrame, prefixes=INFECTION_PREFIXES) -> DataFrame:

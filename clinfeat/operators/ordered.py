@@ -27,9 +27,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
-def _before(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def _place(key: Column, slice_: Column) -> Column:
+    """Group and slice as one value, by which rows are partitioned, ranked and joined: NULL equals NULL inside it, so the join with the
+    slices' totals finds the rows where the window left them. A null-safe join by columns would shuffle them once more."""
+    return F.struct(key.alias("key"), slice_.alias("slice"))
+
+
+def _before(totals: DataFrame, keys: list[str], names: list[str], slice_: str = "_slice") -> DataFrame:
     """Sum of each named total over the earlier slices of the group."""
-    w = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*keys).orderBy(slice_).rowsBetween(W.unboundedPreceding, -1)
     kept = [c for c in totals.columns if c not in names]
     return totals.select(
         *kept, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_before_{n}") for n in names]
@@ -42,16 +48,15 @@ def dense_rank_by_time(df: DataFrame, key: str, ts: str, out: str) -> DataFrame:
     The offsets need one row per key and month, which is less than the data for a key with many
     rows and about the same for a key with few.
     """
-    sliced = df.withColumn("_slice", F.coalesce(F.year(ts) * 12 + F.month(ts), F.lit(2**31 - 1)))
-    totals = sliced.select(key, "_slice", ts).distinct().groupBy(key, "_slice").agg(
-        F.count("*").alias("n")
-    )
-    w = W.partitionBy(key, "_slice").orderBy(ts)
-    local = sliced.repartition(key, "_slice").withColumn("_local", F.dense_rank().over(w))
+    month = F.coalesce(F.year(ts) * 12 + F.month(ts), F.lit(2**31 - 1))
+    sliced = df.withColumn("_place", _place(F.col(f"`{key}`"), month))
+    totals = sliced.select("_place", ts).distinct().groupBy("_place").agg(F.count("*").alias("n"))
+    w = W.partitionBy("_place").orderBy(ts)
+    local = sliced.repartition("_place").withColumn("_local", F.dense_rank().over(w))
     return (
-        null_safe_join(local, _before(totals, [key], ["n"]), [key, "_slice"])
+        local.join(_before(totals, ["_place.key"], ["n"], "_place.slice"), "_place")
         .withColumn(out, (F.col("_local") + F.col("_before_n")).cast("int"))
-        .drop("_slice", "_local", "_before_n")
+        .drop("_place", "_local", "_before_n")
     )
 
 
@@ -59,14 +64,14 @@ def running_sum_by_number(
     df: DataFrame, key: str, number: str, value: str, out: str, width: int = 100_000
 ) -> DataFrame:
     """Running sum of ``value`` by a dense ``number`` within ``key``; a slice is ``width`` numbers."""
-    sliced = df.withColumn("_slice", F.floor(F.col(number) / width))
-    totals = sliced.groupBy(key, "_slice").agg(F.sum(value).alias("n"))
-    w = W.partitionBy(key, "_slice").orderBy(number).rowsBetween(W.unboundedPreceding, 0)
-    local = sliced.repartition(key, "_slice").withColumn("_local", F.sum(value).over(w))
+    sliced = df.withColumn("_place", _place(F.col(f"`{key}`"), F.floor(F.col(number) / width)))
+    totals = sliced.groupBy("_place").agg(F.sum(value).alias("n"))
+    w = W.partitionBy("_place").orderBy(number).rowsBetween(W.unboundedPreceding, 0)
+    local = sliced.repartition("_place").withColumn("_local", F.sum(value).over(w))
     return (
-        null_safe_join(local, _before(totals, [key], ["n"]), [key, "_slice"])
+        local.join(_before(totals, ["_place.key"], ["n"], "_place.slice"), "_place")
         .withColumn(out, F.col("_local") + F.col("_before_n"))
-        .drop("_slice", "_local", "_before_n")
+        .drop("_place", "_local", "_before_n")
     )
 
 

@@ -58,7 +58,8 @@ def joined_features(src: Sources, codes: Codes, info: DataFrame) -> DataFrame:
         src.charts, src.admissions, codes.vitals, codes.weights, codes.heights
     )
     labs = measures.first_labs(src.labs, src.admissions, codes.labs)
-    return features.numeric_features(features.with_stay_facts(charts, info), labs)
+    both = features.numeric_features(charts, labs)  # still partitioned by stay; the later joins by id alone share one more shuffle
+    return features.with_stay_facts(both, info).select(*both.columns, "start_ts", "age", "gender")
 
 
 def sessions(info: DataFrame) -> DataFrame:

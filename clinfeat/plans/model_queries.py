@@ -130,16 +130,24 @@ def prepared(r: Retail, strategy: str = "median") -> plans.Prepared:
     key = (r.spark.sparkContext.applicationId, r.folder, strategy)
     if key not in STAGED:
         dataset = staged_dataset(r)
-        flags = plans.drug_features(sources(r), codes(r), dataset, staged_info(r))
+        flags = plans.drug_features(sources(r), codes(r), dataset, shared_info(r))
         STAGED[key] = plans.prepare(dataset, TEST_FEATURES, flags, strategy=strategy)
     return STAGED[key]
 
 
+def shared_info(r: Retail) -> DataFrame:
+    """The stays, written once a session."""
+    key = (r.spark.sparkContext.applicationId, r.folder, "info")
+    if key not in STAGED:
+        STAGED[key] = staged_info(r)
+    return STAGED[key]
+
+
 def staged_dataset(r: Retail) -> DataFrame:
     """The labelled dataset, written once a session."""
     key = (r.spark.sparkContext.applicationId, r.folder)
     if key not in STAGED:
-        STAGED[key] = stages.materialize(plans.build_dataset(sources(r), codes(r), staged_info(r)), "dataset")
+        STAGED[key] = stages.materialize(plans.build_dataset(sources(r), codes(r), shared_info(r)), "dataset")
     return STAGED[key]
 
 
