@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES
 from clinfeat.functions.numbers import histogram_bin, percent
-from clinfeat.learning.models import LABEL, fit, fold, score
+from clinfeat.learning.models import LABEL, fit, fold, score, together, without_gaps
 from clinfeat.learning.monotone import smoothed_targets
 from clinfeat.learning.newton import Fit, Rows, grouped_auc
 from clinfeat.operators.ordered import running_totals
@@ -35,23 +35,6 @@ def out_of_fold(df: DataFrame, features: list[str], model: str = "logistic", fol
     return out
 
 
-def together(df: DataFrame, model: str, params: dict) -> bool:
-    """Can the fits be solved in one pass for each step: a plain logistic model of the labels 0 and 1?"""
-    if model != "logistic" or params:
-        return False
-    labels = df.where(F.col(LABEL).isNotNull()).agg(F.count_distinct(LABEL).alias("n"), F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
-    return (labels["n"], labels["low"], labels["high"]) == (2, 0, 1)
-
-
-def without_gaps(features: list[str]) -> dict[str, Column]:
-    """The features as doubles; a missing one fails, as it does in a fit."""
-    def checked(c):
-        v = F.col(f"`{c}`").cast("double")
-        return F.when(v.isNull() | F.isnan(v), F.raise_error(f"{c} has missing values").cast("double")).otherwise(v)
-
-    return {c: checked(c) for c in features}
-
-
 def with_scores(folded: DataFrame, features: list[str], fits: list[Fit]) -> DataFrame:
     """Add ``prediction`` and ``score`` of the fit that leaves out the row's ``_fold``; ``fits``: one a fold, in order."""
     def own(i):
