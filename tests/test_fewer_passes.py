@@ -89,3 +89,13 @@ def test_plain_logistic_fit_takes_no_descent(spark, monkeypatch):
         assert r["score"] == pytest.approx(want[r["enc_id"]]["score"], abs=1e-5)
     with pytest.raises(Exception, match="missing values"):
         models.fit(rows.withColumn("a", F.when(F.col("enc_id") != 5, F.col("a"))), ["a", "b"])
+
+
+def test_tree_fits_read_few_rows_in_few_partitions(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, float(i)) for i in range(200)], "enc_id long, outcome int, a double").repartition(24)
+    assert models.gathered(rows).rdd.getNumPartitions() == 4
+    assert models.gathered(rows, 10, 1).rdd.getNumPartitions() == 20
+    seen = []
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or models.LogisticModel(coefficients=[1.0]))
+    models.fit(rows, ["a"], "forest", numTrees=1)
+    assert seen == [4]
