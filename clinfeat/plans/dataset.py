@@ -118,7 +118,8 @@ def prepare(dataset: DataFrame, columns=MODEL_FEATURES, drugs: DataFrame | None
         if four_classes:
             chosen = prep.with_death_classes(chosen)
         chosen = chosen.drop("expire")
-    balanced = prep.balance(chosen, "outcome", "enc_id", seed, under)
+    # balancing and the split read their rows four times each: staged in between, or the dataset would be read sixteen times
+    balanced = materialize(prep.balance(chosen, "outcome", "enc_id", seed, under), "balanced")
     if drugs is not None and not only_drugs:
         balanced = balanced.join(
             prep.select_drug_features(drugs).withColumn("outcome", F.col("outcome").cast("int")),
