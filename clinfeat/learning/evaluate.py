@@ -1,5 +1,7 @@
 """Evaluation of scored rows, and what-if scoring. Scores and labels are plain columns."""
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -8,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clinfeat.codes.values import DRUG_FEATURES
 from clinfeat.functions.numbers import histogram_bin, percent
+from clinfeat.learning.grown import FoldRows, as_is
 from clinfeat.learning.models import LABEL, fit, fold, score, together, without_gaps
 from clinfeat.learning.monotone import smoothed_targets
 from clinfeat.learning.newton import Fit, Rows, grouped_auc
@@ -18,13 +21,16 @@ KINDS = {(1, 1): "true_pos", (0, 0): "true_neg", (0, 1): "false_pos", (1, 0): "f
 
 def out_of_fold(df: DataFrame, features: list[str], model: str = "logistic", folds: int = 5,
                 **params) -> DataFrame:
-    """Every row scored by a model that was fitted without its fold. Plain logistic models are fitted together (``newton``)."""
+    """Every row scored by a model that was fitted without its fold. Plain logistic models are fitted together (``newton``), plain trees
+    are grown together (``grown``)."""
     folded = df.withColumn("_fold", fold("enc_id", folds))
     if together(df, model, params):
         rows = Rows(folded.withColumns(without_gaps(features)), features, LABEL, F.col("_fold"))
         fits = [Fit(tuple(range(len(features))), k) for k in range(folds)]
         rows.solve(fits)
         return with_scores(folded, features, fits)
+    if model == "tree" and not params and plain_labels(folded):
+        return with_tree_scores(folded, features, folds)
     parts = []
     for k in range(folds):
         fitted = fit(folded.filter(F.col("_fold") != k), features, model, **params)
@@ -48,6 +54,35 @@ def with_scores(folded: DataFrame, features: list[str], fits: list[Fit]) -> Data
     }).drop("_z")
 
 
+def plain_labels(folded: DataFrame) -> bool:
+    """No label is missing, and every fold has rows outside it."""
+    y = F.col(LABEL).cast("double")
+    found = folded.agg(F.count_if(y.isNull() | F.isnan(y)).alias("gaps"), F.count_distinct("_fold").alias("folds")).first()
+    return not found["gaps"] and found["folds"] > 1
+
+
+def with_tree_scores(folded: DataFrame, features: list[str], folds: int, depth: int = 5, least: int = 1) -> DataFrame:
+    """Add ``prediction`` and ``score`` of the regression tree that leaves out the row's ``_fold``."""
+    cells = without_gaps(features)
+    rows = FoldRows(folded, features, LABEL, F.col("_fold"), folds, cells)
+    try:
+        trees, _ = rows.grow(rows.blocks, depth, least, as_is)
+    finally:
+        rows.free()
+
+    @F.pandas_udf("double")
+    def predicted(fold: pd.Series, x: pd.Series) -> pd.Series:
+        at, values = fold.to_numpy(), np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(features)))
+        out = np.zeros(len(at))
+        for k in np.unique(at):
+            own = at == k
+            out[own] = trees[k].value[trees[k].places(values[own], trees[k].threshold)]
+        return pd.Series(out)
+
+    kept = folded.where(F.col("_fold").isNotNull())
+    return kept.withColumn("prediction", predicted("_fold", F.array(*[cells[c] for c in features]))).withColumn("score", F.col("prediction"))
+
+
 def confusion(scored: DataFrame, label: str = LABEL, predicted: str = "prediction") -> DataFrame:
     """Counts and row-normalised shares of (label, prediction)."""
     cells = scored.groupBy(label, F.col(predicted).cast("int").alias("predicted")).agg(
