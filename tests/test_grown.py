@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clinfeat.learning import evaluate, grown, models
+from clinfeat.learning import evaluate, grown, models, trees
 
 FEATURES = ["a", "b", "c d", "e"]
 
@@ -67,3 +67,17 @@ def test_a_missing_feature_or_label_fails_as_before(rows):
 def test_thresholds():
     assert grown.thresholds(np.array([3.0, 1.0, 1.0, 2.0]), 32).tolist() == [1.5, 2.5] and grown.thresholds(np.zeros(5), 32).tolist() == []
     assert grown.thresholds(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]
+
+
+def test_boosting_goes_on_from_its_trees(rows, monkeypatch):
+    """The rounds of separate models, without a fit being started anew; the margins are also computed from all trees in between."""
+    settings = {"stepSize": 0.3, "maxDepth": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 2}
+    with monkeypatch.context() as m:
+        m.setattr(trees, "without_chance", lambda *_: False)
+        want = trees.boosting_rounds(rows, FEATURES, folds=3, most=7, patience=4, **settings).orderBy("round").collect()
+    monkeypatch.setattr(models, "fit", lambda *_, **__: pytest.fail("a model is fitted anew"))
+    monkeypatch.setattr(grown, "FROM_START", 3)
+    found = trees.boosting_rounds(rows, FEATURES, folds=3, most=7, patience=4, **settings).orderBy("round").collect()
+    assert [(r["round"], r["chosen"]) for r in found] == [(r["round"], r["chosen"]) for r in want]
+    for c in ("mean_error", "std_error"):
+        assert [r[c] for r in found] == pytest.approx([r[c] for r in want])
