@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clinfeat.operators import nearest, nearest_few
+from clinfeat.operators import nearest, nearest_few, prep
 from test_nearest import brute, check, made
 
 
@@ -36,10 +37,11 @@ def test_rows_of_one_id_are_no_donors_of_each_other():
 
 
 def test_shards_of_donors(spark, monkeypatch):
-    """Many small shards tell the same as one."""
+    """Many small shards, over few columns and by blocks, tell the same as one."""
     monkeypatch.setattr(nearest, "SHARD_BYTES", 2000)
     rows = made(8, 160, 4, 0.3) | {1000 + i: [1.0, None, 2.0, 2.0] for i in range(12)}
     check(spark, rows, rows, 4, 16)
+    check(spark, rows, rows, 4, 16, {})
 
 
 def test_most_places_are_not_looked_at(monkeypatch):
@@ -51,3 +53,15 @@ def test_most_places_are_not_looked_at(monkeypatch):
     monkeypatch.setattr(nearest_few.Space, "distances", lambda self, x, at: met.append(len(at)) or plain(self, x, at))
     found = nearest_few.Shard(np.arange(20_000), x).found(np.arange(10_000), x[:10_000], 3)
     assert len(found[0]) == 30_000 and sum(met) < 10_000 * 200
+
+
+def test_blocks_are_not_moved_for_every_pair(spark):
+    """By blocks: what is shuffled and written does not grow with the number of pairs."""
+    rows, audit = made(10, 600, 3, 0.2), {}
+    df = spark.createDataFrame([(i, *x) for i, x in rows.items()], "enc_id long, a double, b double, c double")
+    out = prep.impute_nearest(df, ["a", "b", "c"], block_rows=8, audit=audit)
+    plans = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plans and "Join Inner" not in plans and audit["first"] + audit["second"] > 600
+    few = prep.impute_nearest(df, ["a", "b", "c"])
+    columns = ["enc_id", *[F.round(c, 9).alias(c) for c in "abc"]]
+    assert sorted(map(tuple, out.select(*columns).collect()), key=str) == sorted(map(tuple, few.select(*columns).collect()), key=str)
